@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.internal import InternalFunction
 
 
+def prices() -> tuple[Column, Column, Column, Column]:
+    """open, high, low, close"""
+    return tuple(F.col(c) for c in ("open", "high", "low", "close"))
+
+
 def flag(condition: Column) -> Column:
     """1 where the condition holds, 0 where it fails or is unknown."""
     return F.coalesce(condition, F.lit(False)).cast("int")

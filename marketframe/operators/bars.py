@@ -64,7 +64,11 @@ def fill_forward(p: Panel, columns: list[str]) -> Panel:
 
 
 def clean_bars(
-    bars: DataFrame, symbol: str = "symbol", ts: str = "ts", sequence: str | None = None
+    bars: DataFrame,
+    symbol: str = "symbol",
+    ts: str = "ts",
+    sequence: str | None = None,
+    longest: int | None = None,
 ) -> DataFrame:
     """Bars fit for features: one per symbol and time, positive consistent prices, no holes.
 
@@ -88,7 +92,7 @@ def clean_bars(
     bad = F.coalesce(F.col("high") < F.col("low"), F.lit(False))
     for c in PRICES:
         bad = bad | F.coalesce(F.col(c) <= 0, F.lit(False))
-    filled = fill_forward(one_each.where(~bad), measures, symbol=symbol, ts=ts)
+    filled = fill_forward(one_each.where(~bad), measures, symbol=symbol, ts=ts, longest=longest)
     return filled.dropna(subset=PRICES).select(columns)
 
 

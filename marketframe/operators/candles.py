@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marketframe.functions.kernels import clip, flag, safe_div, sum_of, zero_to_null
+from marketframe.functions.kernels import clip, flag, prices, safe_div, sum_of, zero_to_null
 from marketframe.operators.panel import Panel, panel_operator
 
-C, O, H, L = (F.col(c) for c in ("close", "open", "high", "low"))
 
 # Which flags count as bullish and bearish (fixed values).
 BULLISH = [
@@ -29,6 +28,7 @@ def add_candle_geometry(p: Panel) -> Panel:
 
     ``body_vs_atr`` and ``range_vs_atr`` are NULL unless volatility features ran before.
     """
+    O, H, L, C = prices()
     body, size = C - O, F.abs(C - O)
     top, bottom = H - F.greatest(O, C), F.least(O, C) - L
     span = H - L
@@ -57,6 +57,7 @@ def add_candle_geometry(p: Panel) -> Panel:
 
 def _context(p: Panel) -> tuple[Column, Column]:
     """(down, up): the trend a reversal pattern must appear in, from what is available."""
+    _, _, _, C = prices()
     if "trend_agreement" not in p:
         earlier = p.frames.lag(C, 5)
         return C < earlier, C > earlier
@@ -70,6 +71,7 @@ def _context(p: Panel) -> tuple[Column, Column]:
 @panel_operator
 def add_pattern_features(p: Panel) -> Panel:
     """24 candlestick flags and three summary counts; needs the candle geometry."""
+    O, H, L, C = prices()
     f = p.frames
     down, up = _context(p)
     lagged = {"o": O, "c": C, "h": H, "l": L, "b": F.col("body_abs"), "d": F.col("candle_direction")}

@@ -100,13 +100,15 @@ def build_daily_sentiment(
     return fill_calendar(news_days(score_articles(kept, scorer, **scoring)), bars)
 
 
-def merge_price_and_sentiment(bars: DataFrame, daily: DataFrame, shift_days: int = 1) -> DataFrame:
+def merge_price_and_sentiment(
+    bars: DataFrame, daily: DataFrame, shift_days: int = 1, longest: int | None = None
+) -> DataFrame:
     """Bars plus the 8 sentiment columns of ``shift_days`` rows earlier.
 
     The row count stays. A value that is missing, also for want of an earlier row, is 0.0 in
     every column, ``positive_ratio`` included.
     """
-    p = open_panel(bars)
+    p = open_panel(bars, longest=longest)
     by_day = daily.withColumnsRenamed({"ts": "__day", "symbol": "__symbol"})
     same = (F.col("symbol") == F.col("__symbol")) & (F.to_date("ts") == F.col("__day"))
     joined = p.df.join(by_day, same, "left").drop("__day", "__symbol")

@@ -205,20 +205,18 @@ def precision_recall_f1(predictions: DataFrame, classes: list[int] = tuple(LABEL
         F.count("*").alias("n")
     )
     every = predictions.sparkSession.createDataFrame([(int(c),) for c in classes], "class int")
-    n = F.col("n")
-    count = lambda condition: F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
     hit = F.col("label") == F.col("prediction")
-    total = pairs.agg((count(hit) / F.greatest(F.lit(1), F.sum("n"))).alias("a")).scalar()
-    # pairs has at most classes x classes rows
-    per_class = (
-        every.join(F.broadcast(pairs), (F.col("class") == F.col("label")) | (F.col("class") == F.col("prediction")), "left")
-        .groupBy("class")
-        .agg(
-            count(hit).alias("tp"),
-            count(~hit & (F.col("prediction") == F.col("class"))).alias("fp"),
-            count(~hit & (F.col("label") == F.col("class"))).alias("fn"),
-        )
+    total = pairs.agg(F.sum(F.when(hit, F.col("n")).otherwise(0)) / F.greatest(F.lit(1), F.sum("n"))).scalar()
+    # A pair counts for its label (hit or missed) and, if they differ, for its prediction.
+    role = lambda cls, kind: F.struct(cls.alias("class"), F.lit(kind).alias("kind"))
+    roles = F.when(hit, F.array(role(F.col("label"), "tp"))).otherwise(
+        F.array(role(F.col("label"), "fn"), role(F.col("prediction"), "fp"))
     )
+    counts = pairs.select("n", F.inline(roles)).groupBy("class").agg(
+        *[F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(k) for k in ("tp", "fp", "fn")]
+    )
+    # one row per class on both sides
+    per_class = every.join(F.broadcast(counts), "class", "left").fillna(0, ["tp", "fp", "fn"])
     at_least_one = lambda x: F.greatest(F.lit(1), x)
     per_class = per_class.withColumn("p", F.col("tp") / at_least_one(F.col("tp") + F.col("fp"))).withColumn(
         "r", F.col("tp") / at_least_one(F.col("tp") + F.col("fn"))

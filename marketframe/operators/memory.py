@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketframe.functions.kernels import flag, safe_div, zero_to_null
+from marketframe.functions.kernels import flag, prices, safe_div, zero_to_null
 from marketframe.operators.panel import Panel, panel_operator
 
-C, H, L = (F.col(c) for c in ("close", "high", "low"))
 
 # Columns that are lagged by default, and by how many rows (fixed values).
 LAG_TARGETS = [
@@ -23,6 +22,7 @@ LAG_PERIODS = [1, 2, 3, 5, 10]
 @panel_operator
 def add_sequence_features(p: Panel) -> Panel:
     """Counts of rising and falling bars, streaks, pattern clusters, extremes (18 columns)."""
+    _, H, L, C = prices()
     f = p.frames
     d = F.col("candle_direction")
     bulls, bears = p.column_or("bullish_pattern_count", 0), p.column_or("bearish_pattern_count", 0)
@@ -57,6 +57,7 @@ def add_sequence_features(p: Panel) -> Panel:
 @panel_operator
 def add_sr_proximity(p: Panel) -> Panel:
     """Distance to rolling highs and lows from half a window on (9 columns)."""
+    _, H, L, C = prices()
     f, out = p.frames, {}
     for k in (20, 50, 100):
         top, bottom = f.high(H, k, k // 2), f.low(L, k, k // 2)
@@ -81,6 +82,7 @@ def add_return_features(p: Panel) -> Panel:
 
     The two normalised returns appear only if volatility features ran before.
     """
+    _, _, _, C = prices()
     f = p.frames
     p = p.add({f"ret_{k}d": F.ln(F.try_divide(C, f.lag(C, k))) * 100 for k in (1, 2, 3, 5, 10, 20)})
     r = F.col("ret_1d")

@@ -28,18 +28,29 @@ TREES = {
 }
 
 
-def target_label(features: DataFrame, horizon: int = 1, symbol: str = "symbol", ts: str = "ts") -> DataFrame:
+def target_label(
+    features: DataFrame,
+    horizon: int = 1,
+    symbol: str = "symbol",
+    ts: str = "ts",
+    longest: int | None = None,
+) -> DataFrame:
     """Add ``target``: 1 if the close is higher ``horizon`` rows ahead, else 0; NULL without them."""
-    p = open_panel(features, symbol, ts, newest_first=True)
+    p = open_panel(features, symbol, ts, newest_first=True, longest=longest)
     later = p.frames.lag("close", horizon)
     return close_panel(p.add({"target": F.when(later.isNotNull(), flag(later > F.col("close")))}))
 
 
 def target_threshold(
-    features: DataFrame, horizon: int = 1, threshold: float = 0.003, symbol: str = "symbol", ts: str = "ts"
+    features: DataFrame,
+    horizon: int = 1,
+    threshold: float = 0.003,
+    symbol: str = "symbol",
+    ts: str = "ts",
+    longest: int | None = None,
 ) -> DataFrame:
     """Keep rows that move by more than ``threshold`` within ``horizon`` rows, labelled 1 or 0."""
-    p = open_panel(features, symbol, ts, newest_first=True)
+    p = open_panel(features, symbol, ts, newest_first=True, longest=longest)
     p = p.add({"__move": F.try_divide(p.frames.lag("close", horizon), F.col("close")) - 1})
     move = F.col("__move")
     p = p.add({"target": F.when(move > threshold, 1).when(move < -threshold, 0)})
@@ -93,9 +104,14 @@ def direction_pipeline(features: list[str], **trees) -> Pipeline:
 
 
 def train(df: DataFrame, features: list[str], train_ratio: float = 0.8, **trees) -> tuple[PipelineModel, DataFrame, DataFrame]:
-    """Fit on the earlier part of the rows with a target: (model, train, test)."""
+    """Fit on the earlier part of the rows with a target: (model, train, test).
+
+    Fitting reads its rows once per stage, so they are kept (spilling to disk) and both
+    parts come from the kept rows; ``unpersist`` the returned parts when done.
+    """
     as_double = [F.col(c).cast("double").alias(c) if c in features else F.col(c) for c in df.columns]
-    parts = chronological_split(df.where(F.col("target").isNotNull()).select(*as_double), train_ratio)
+    rows = df.where(F.col("target").isNotNull()).select(*as_double).persist()
+    parts = chronological_split(rows, train_ratio).persist()
     early, late = (parts.where(F.col("split") == s).drop("split") for s in ("train", "test"))
     return direction_pipeline(features, **trees).fit(early), early, late
 

@@ -190,6 +190,11 @@ class Panel:
         return p.add(out)
 
 
+def longest_symbol(bars: DataFrame, symbol: str = "symbol") -> int:
+    """Rows of the symbol with the most rows."""
+    return bars.groupBy(symbol).count().agg(F.max("count")).first()[0] or 0
+
+
 def open_panel(
     bars: DataFrame,
     symbol: str = "symbol",
@@ -197,17 +202,21 @@ def open_panel(
     max_rows: int | None = None,
     halo: int | None = None,
     newest_first: bool = False,
+    longest: int | None = None,
 ) -> Panel:
     """Choose the partitioning of ``bars`` from the row count of its longest symbol.
 
     ``newest_first`` turns time around, for the few operators that look ahead.
 
-    The check is one narrow count. Give bars that took long to build a table or a
-    checkpoint first, so that the check reads two columns instead of building twice.
+    The check is one narrow count, skipped if the caller passes ``longest``, an upper bound of
+    the rows per symbol. In a chain of operators count once at the start: they never add rows.
+    When blocks are needed, counting months is a second pass over ``bars``, so bars that took
+    long to build should be a table or a checkpoint by then.
     """
     max_rows = MAX_ROWS if max_rows is None else max_rows
     halo = HALO if halo is None else halo
-    longest = bars.groupBy(symbol).count().agg(F.max("count")).first()[0] or 0
+    if longest is None:
+        longest = longest_symbol(bars, symbol)
     if longest <= max_rows:
         return Panel(bars, symbol, ts, False, newest_first=newest_first)
 
@@ -246,10 +255,10 @@ def panel_operator(fn: Callable) -> Callable:
     """Let a Panel -> Panel feature function be called on a plain DataFrame of bars."""
 
     @wraps(fn)
-    def run(bars, *args, symbol: str = "symbol", ts: str = "ts", **kwargs):
+    def run(bars, *args, symbol: str = "symbol", ts: str = "ts", longest: int | None = None, **kwargs):
         if isinstance(bars, Panel):
             return fn(bars, *args, **kwargs).drop_temporaries()
-        p = open_panel(bars, symbol, ts)
+        p = open_panel(bars, symbol, ts, longest=longest)
         return close_panel(fn(p, *args, **kwargs))
 
     return run

@@ -7,10 +7,9 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marketframe.functions.kernels import above_quantile, below_quantile, flag, rank_in, safe_div, sum_of, zero_to_null
+from marketframe.functions.kernels import above_quantile, below_quantile, flag, prices, rank_in, safe_div, sum_of, zero_to_null
 from marketframe.operators.panel import Panel, panel_operator
 
-C, H, L = (F.col(c) for c in ("close", "high", "low"))
 
 
 def crosses_above(p: Panel, a: Column, b: Column) -> Column:
@@ -28,6 +27,7 @@ def add_trend_features(p: Panel) -> Panel:
     ``ma5_slope`` to ``ma50_slope`` take their sources from sma_20, sma_50, sma_200 and
     sma_200: the names are fixed and do not tell the window.
     """
+    _, H, L, C = prices()
     f = p.frames
     up, down = f.diff(H), F.abs(f.diff(L))
     p = p.add({
@@ -85,6 +85,7 @@ def rsi(gain: Column, loss: Column) -> Column:
 @panel_operator
 def add_momentum_features(p: Panel) -> Panel:
     """Wilder RSI at three lengths, its zones, and rates of change (14 columns)."""
+    _, _, _, C = prices()
     f = p.frames
     change = f.diff(C)
     p = p.add({
@@ -112,6 +113,7 @@ def add_rsi_simple(p: Panel, period: int = 14) -> Panel:
 
     Only gains in the window give 100; a flat window has no value.
     """
+    _, _, _, C = prices()
     f = p.frames
     p = p.add({"__t_change": f.diff(C)})
     d = F.col("__t_change")
@@ -126,6 +128,7 @@ def add_rsi_simple(p: Panel, period: int = 14) -> Panel:
 @panel_operator
 def add_macd_features(p: Panel) -> Panel:
     """MACD(12, 26, 9): line, signal, histogram, crosses and divergences (16 columns)."""
+    _, _, _, C = prices()
     f = p.frames
     p = p.ema({"__t_fast": ("close", 12), "__t_slow": ("close", 26)})
     p = p.add({"macd_line": F.col("__t_fast") - F.col("__t_slow")})
@@ -163,6 +166,7 @@ def add_volatility_features(p: Panel) -> Panel:
     Bands are named by what they are (upper above lower); ``atr_14`` is a simple mean of
     true ranges.
     """
+    _, H, L, C = prices()
     f = p.frames
     before = f.lag(C)
     p = p.add({
@@ -215,6 +219,7 @@ def add_volume_features(p: Panel) -> Panel:
     Returns the panel unchanged if there is no volume. Zero volume counts as missing in
     averages and as zero in sums.
     """
+    _, H, L, C = prices()
     if "volume" not in p:
         return p
     f = p.frames

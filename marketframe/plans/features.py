@@ -33,6 +33,7 @@ def build_features(
     modules: list[str] | None = None,
     max_rows: int | None = None,
     halo: int | None = None,
+    longest: int | None = None,
 ) -> DataFrame:
     """All derived columns for all symbols; call ``drop_warmup`` on what you select.
 
@@ -41,7 +42,7 @@ def build_features(
     ``modules`` limits the list to some of ``MODULES``, in the fixed order. Rolling
     sentiment is added when the bars carry daily sentiment.
     """
-    p = open_panel(bars, symbol, ts, max_rows, halo)
+    p = open_panel(bars, symbol, ts, max_rows, halo, longest=longest)
     for name, module in MODULES.items():
         if modules is None or name in modules:
             p = module(p)

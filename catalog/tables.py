@@ -82,16 +82,25 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
     return base.unionByName(copies)
 
 
-def hash_scorer():
-    """Test stub, not a sentiment model: probabilities from the digits of the text's MD5."""
+def _hash_scorer():
+    """Test stub, not a sentiment model: probabilities from the digits of the text's MD5.
 
-    def score(texts: pd.Series) -> pd.DataFrame:
-        keys = [hashlib.md5(t.strip().lower().encode()).hexdigest() for t in texts]
-        positive = pd.Series([int(k[0:4], 16) / 131072 for k in keys], dtype="float64")
-        negative = pd.Series([int(k[4:8], 16) / 131072 for k in keys], dtype="float64")
-        return pd.DataFrame({"positive": positive, "negative": negative, "neutral": 1 - positive - negative})
+    Local functions travel to the workers by value, so these need no package there.
+    """
 
-    return score
+    def load():
+        def score(texts: pd.Series) -> pd.DataFrame:
+            keys = [hashlib.md5(t.strip().lower().encode()).hexdigest() for t in texts]
+            positive = pd.Series([int(k[0:4], 16) / 131072 for k in keys], dtype="float64")
+            negative = pd.Series([int(k[4:8], 16) / 131072 for k in keys], dtype="float64")
+            return pd.DataFrame({"positive": positive, "negative": negative, "neutral": 1 - positive - negative})
+
+        return score
+
+    return load
+
+
+hash_scorer = _hash_scorer()
 
 
 def hash_probabilities(text) -> tuple:

@@ -133,8 +133,7 @@ def drop_warmup(features: DataFrame) -> DataFrame:
 
 def inf_to_null(df: DataFrame) -> DataFrame:
     """Replace infinities and NaN in floating columns by NULL."""
-    bad = [float("inf"), float("-inf"), float("nan")]
-    return df.select(*[
-        F.when(~F.col(c).isin(bad), F.col(c)).alias(c) if t in ("double", "float") else F.col(c)
-        for c, t in df.dtypes
+    finite = "CASE WHEN abs(`{0}`) < double('Infinity') THEN `{0}` END AS `{0}`"
+    return df.selectExpr(*[
+        finite.format(c) if t in ("double", "float") else f"`{c}`" for c, t in df.dtypes
     ])

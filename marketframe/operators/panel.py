@@ -62,6 +62,11 @@ class Panel:
         df = self.df.select(*same, *[v.alias(k) for k, v in columns.items()])
         return self._with(df, kept + list(columns))
 
+    def pack(self, name: str, columns: list[str]) -> Panel:
+        """Move finished columns into one struct, which later layers carry as one value."""
+        kept = [c for c in self.names if c not in columns]
+        return self._with(self.df.select(*kept, F.struct(*columns).alias(name)), [*kept, name])
+
     def drop_temporaries(self) -> Panel:
         """Forget a module's working columns (two leading underscores and a t)."""
         kept = [c for c in self.names if not c.startswith("__t_")]
@@ -203,6 +208,7 @@ def open_panel(
     halo: int | None = None,
     newest_first: bool = False,
     longest: int | None = None,
+    tasks: int | None = None,
 ) -> Panel:
     """Choose the partitioning of ``bars`` from the row count of its longest symbol.
 
@@ -210,6 +216,12 @@ def open_panel(
 
     The check is one narrow count, skipped if the caller passes ``longest``, an upper bound of
     the rows per symbol. In a chain of operators count once at the start: they never add rows.
+
+    Seven columns go into the shuffle and hundreds come out of the windows, so the bytes that
+    adaptive execution would merge partitions by say little about the work: the shuffle
+    gets ``tasks`` partitions, by default ``spark.sql.shuffle.partitions``. With 0 it is left
+    to Spark, which suits bars that are bucketed by symbol.
+
     When blocks are needed, counting months is a second pass over ``bars``, so bars that took
     long to build should be a table or a checkpoint by then.
     """
@@ -217,8 +229,11 @@ def open_panel(
     halo = HALO if halo is None else halo
     if longest is None:
         longest = longest_symbol(bars, symbol)
+    if tasks is None:
+        tasks = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = lambda df, *keys: df.repartition(tasks, *keys) if tasks else df
     if longest <= max_rows:
-        return Panel(bars, symbol, ts, False, newest_first=newest_first)
+        return Panel(spread(bars, symbol), symbol, ts, False, newest_first=newest_first)
 
     # One row per symbol and month: at most 1,200 per symbol and century.
     month = F.date_trunc("month", ts).alias("__month")
@@ -232,22 +247,27 @@ def open_panel(
     # A month belongs to the block its first row falls in, and is halo to every later
     # block that starts within ``halo`` rows of the month's last row.
     own_block = F.floor(F.col(_BEFORE) / max_rows)
+    last_block = F.floor(F.max(_BEFORE).over(Window.partitionBy(symbol)) / max_rows)
     reach = F.floor((F.col(_BEFORE) + F.col("__n") + halo - 1) / max_rows)
-    months = months.select(
-        symbol, "__month", _BEFORE, F.sequence(own_block, F.greatest(own_block, reach)).alias("__blocks")
-    )
+    until = F.greatest(own_block, F.least(reach, last_block))
+    months = months.select(symbol, "__month", _BEFORE, F.sequence(own_block, until).alias("__blocks"))
     df = (
         bars.withColumn("__month", F.date_trunc("month", ts))
         .join(months, [symbol, "__month"])
         .select(*bars.columns, _BEFORE, F.posexplode("__blocks").alias("__nth", _BLOCK))
         .select(*bars.columns, _BEFORE, _BLOCK, (F.col("__nth") == 0).alias(_OWN))
     )
-    return Panel(df, symbol, ts, True, newest_first=newest_first)
+    return Panel(spread(df, symbol, _BLOCK), symbol, ts, True, newest_first=newest_first)
+
 
+def close_panel(p: Panel, columns: list[Column] | None = None) -> DataFrame:
+    """Back to one row per bar: without halo copies, and with the given columns.
 
-def close_panel(p: Panel) -> DataFrame:
-    """Back to one row per bar: drop working columns and halo copies."""
+    By default these are all but the working columns.
+    """
     df = p.df.where(_OWN) if p.blocked else p.df
+    if columns is not None:
+        return df.select(*columns)
     return df.drop(*[c for c in p.names if c.startswith("__")])
 
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from marketframe.operators import candles, memory, technical
 from marketframe.operators.bars import inf_to_null
+from marketframe.operators.candles import BEARISH, BULLISH
+from marketframe.operators.memory import LAG_TARGETS
 from marketframe.operators.panel import close_panel, open_panel
 from marketframe.operators.rolling_sentiment import add_rolling_sentiment_features
 
@@ -26,6 +29,18 @@ MODULES = {
 }
 
 
+# Features that a later module reads. All others are packed as soon as they are there: 340 separate
+# columns through every window would cost more than computing them.
+READ_LATER = {
+    *LAG_TARGETS,
+    "adx_proxy", "rsi_oversold", "rsi_overbought", "bullish_divergence", "bearish_divergence",
+    "macd_bullish_cross", "macd_bearish_cross", "bb_squeeze", "atr_14", "rv5",
+    "body_abs", "upper_wick", "lower_wick", "candle_range",
+    *BULLISH, *BEARISH, "pat_doji", "pat_spinning_top",
+    "ret_1d", "ret_5d",
+}
+
+
 def build_features(
     bars: DataFrame,
     symbol: str = "symbol",
@@ -43,9 +58,22 @@ def build_features(
     sentiment is added when the bars carry daily sentiment.
     """
     p = open_panel(bars, symbol, ts, max_rows, halo, longest=longest)
+    own = list(bars.columns)
+    order, packs = list(own), {}
     for name, module in MODULES.items():
-        if modules is None or name in modules:
-            p = module(p)
+        if modules is not None and name not in modules:
+            continue
+        before = set(p.names)
+        p = module(p)
+        new = [c for c in p.names if c not in before]
+        order += new
+        finished = [c for c in new if c not in READ_LATER]
+        if finished:
+            packs[f"__{name}"] = finished
+            p = p.pack(f"__{name}", finished)
     if "sentiment_mean" in p:
+        before = set(p.names)
         p = add_rolling_sentiment_features(p)
-    return inf_to_null(close_panel(p))
+        order += [c for c in p.names if c not in before]
+    place = {c: f"{pack}.{c}" for pack, columns in packs.items() for c in columns}
+    return inf_to_null(close_panel(p, [F.col(place.get(c, c)).alias(c) for c in order]))

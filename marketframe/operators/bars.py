@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,8 +130,14 @@ def drop_zero_volume(bars: DataFrame) -> DataFrame:
 
 
 def drop_warmup(features: DataFrame) -> DataFrame:
-    """Only rows on which every column has a value."""
-    return features.dropna(how="any")
+    """Only rows on which every column has a value.
+
+    From a plain filter on n computed columns the optimizer derives a constraint for each
+    subset of them (2^n, see spark.sql.constraintPropagation). The random term is always
+    true; a filter that is not deterministic is left alone.
+    """
+    complete = reduce(and_, [F.col(f"`{c}`").isNotNull() for c in features.columns])
+    return features.where(F.when(F.rand(0) >= 0, complete))
 
 
 def inf_to_null(df: DataFrame) -> DataFrame:

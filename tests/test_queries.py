@@ -41,3 +41,4 @@ def test_query_equals_sql(spark, con, name):
 def test_entry(spark):
     df = entry.entry(spark)
     assert {"symbol", "ts", "target", "rsi_14"} <= set(df.columns) and len(df.columns) > 300
+    assert df.count() > 0

@@ -16,22 +16,21 @@ from pyspark.sql import functions as F
 
 from catalog import tables as t
 from catalog.queries import QUERIES
-from marketframe.operators.panel import longest_symbol
 from marketframe.plans.features import build_features
 from marketframe.session import local_session
 
 
 def all_features(bars):
     def run(spark, sf):
-        b = bars(spark, sf)
-        return build_features(b, longest=longest_symbol(b))
+        return build_features(bars(spark, sf), longest=t.longest(spark, sf, bars))
 
     return run
 
 
 def few_features(spark, sf):
     """Three of all features: what pruning saves."""
-    return build_features(t.bars_supplier(spark, sf)).select("symbol", "ts", "rsi_14", "bb_percent", "ret_5d")
+    bars = build_features(t.bars_supplier(spark, sf), longest=t.longest(spark, sf, t.bars_supplier))
+    return bars.select("symbol", "ts", "rsi_14", "bb_percent", "ret_5d")
 
 
 HEADLINE = {

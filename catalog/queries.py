@@ -12,7 +12,6 @@ from marketframe.functions.kernels import Frames, rank_in
 from marketframe.operators import articles as news
 from marketframe.operators import bars as bar_ops
 from marketframe.operators import candles, daily_sentiment, headlines, memory, model, technical
-from marketframe.operators.panel import longest_symbol
 from marketframe.operators.rolling_sentiment import add_rolling_sentiment_features
 from marketframe.plans import assemble as assembly
 from marketframe.plans import registry
@@ -38,7 +37,8 @@ def features_query(name: str, bars: Callable, modules: list[str], columns: list[
     """Register the given columns of the given feature modules, over all bars."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return build_features(bars(spark, sf), modules=modules).select("symbol", "ts", *columns)
+        most = t.longest(spark, sf, bars)
+        return build_features(bars(spark, sf), modules=modules, longest=most).select("symbol", "ts", *columns)
 
     run.__name__ = name
     query(run)
@@ -233,7 +233,8 @@ PROFILED = ["ret_1d", "ret_5d", "ret_std_20d", "max_drawdown_10d", "range_pos_20
 
 
 def _profile_input(spark, sf):
-    return build_features(t.bars_daily(spark, sf), modules=["sr_proximity", "returns"])
+    most = t.longest(spark, sf, t.bars_daily)
+    return build_features(t.bars_daily(spark, sf), modules=["sr_proximity", "returns"], longest=most)
 
 
 @query
@@ -459,12 +460,12 @@ def headline_classifier(spark, sf):
 
 @query
 def target_label(spark, sf):
-    return model.target_label(t.bars_daily(spark, sf), horizon=3).select("symbol", "ts", "target")
+    return model.target_label(t.bars_daily(spark, sf), horizon=3, longest=t.longest(spark, sf, t.bars_daily)).select("symbol", "ts", "target")
 
 
 @query
 def target_threshold(spark, sf):
-    return model.target_threshold(t.bars_daily(spark, sf)).select("symbol", "ts", "target")
+    return model.target_threshold(t.bars_daily(spark, sf), longest=t.longest(spark, sf, t.bars_daily)).select("symbol", "ts", "target")
 
 
 @query
@@ -499,14 +500,14 @@ def confusion_matrix(spark, sf):
 
 
 def _naive(spark, sf):
-    bars = memory.add_return_features(t.bars_daily(spark, sf))
-    labelled = model.target_label(bars).where(F.col("target").isNotNull() & F.col("ret_1d").isNotNull())
+    n = t.longest(spark, sf, t.bars_daily)
+    bars = memory.add_return_features(t.bars_daily(spark, sf), longest=n)
+    labelled = model.target_label(bars, longest=n).where(F.col("target").isNotNull() & F.col("ret_1d").isNotNull())
     return labelled.select("symbol", "ts", "target", (F.col("ret_1d") > 0).cast("int").alias("prediction"))
 
 
 def _training_rows(spark, sf):
-    bars = t.bars_daily(spark, sf)
-    n = longest_symbol(bars)
+    bars, n = t.bars_daily(spark, sf), t.longest(spark, sf, t.bars_daily)
     f = build_features(bars, modules=["momentum", "sr_proximity", "returns"], longest=n)
     return model.target_label(f, longest=n)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketframe.functions.scalars import clean_text, is_scorable, score_struct, text_key
-from marketframe.operators.bars import build_bars
+from marketframe.operators.bars import build_bars, most_bars
 
 SYMBOLS = ["click", "error", "purchase", "signup", "view"]
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -62,6 +62,13 @@ def bars_supplier(spark: SparkSession, sf: str) -> DataFrame:
     return _bars_of_lineitem(table(spark, sf, "lineitem"), F.col("l_suppkey").cast("string"))
 
 
+def longest(spark: SparkSession, sf: str, bars) -> int:
+    """Upper bound of the rows per symbol of the given kind of bars."""
+    if bars in (bars_hourly, bars_weekdays):
+        return most_bars(table(spark, sf, "events"), "ts", "hour" if bars is bars_hourly else "day")
+    return most_bars(table(spark, sf, "lineitem"), "l_shipdate", "day")
+
+
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as articles, plus an upper-case copy of what ``src0`` published."""
     docs = table(spark, sf, "documents")

@@ -51,6 +51,17 @@ def build_bars(
     )
 
 
+def most_bars(ticks: DataFrame, ts: str, unit: str) -> int:
+    """Upper bound of the bars per symbol: the units from the first to the last tick.
+
+    Costs a scan of one column, without a shuffle; pass it to operators as ``longest``.
+    """
+    seconds = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit]
+    at = F.unix_timestamp(F.date_trunc(unit, ts))
+    first, last = ticks.agg(F.min(at), F.max(at)).first()
+    return 0 if first is None else (last - first) // seconds + 1
+
+
 def normalize_columns(bars: DataFrame) -> DataFrame:
     """Lower-case column names; of a dotted two-level name keep the first level."""
     return bars.toDF(*[c.split(".")[0].lower() for c in bars.columns])
@@ -142,7 +153,11 @@ def drop_warmup(features: DataFrame) -> DataFrame:
 
 def inf_to_null(df: DataFrame) -> DataFrame:
     """Replace infinities and NaN in floating columns by NULL."""
-    finite = "CASE WHEN abs(`{0}`) < double('Infinity') THEN `{0}` END AS `{0}`"
-    return df.selectExpr(*[
-        finite.format(c) if t in ("double", "float") else f"`{c}`" for c, t in df.dtypes
+    return df.select(*[
+        finite(c).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes
     ])
+
+
+def finite(name: str) -> Column:
+    """The column, NULL where it is infinite or NaN."""
+    return F.expr(f"CASE WHEN abs(`{name}`) < double('Infinity') THEN `{name}` END")

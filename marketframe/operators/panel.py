@@ -62,10 +62,11 @@ class Panel:
         df = self.df.select(*same, *[v.alias(k) for k, v in columns.items()])
         return self._with(df, kept + list(columns))
 
-    def pack(self, name: str, columns: list[str]) -> Panel:
+    def pack(self, name: str, columns: dict[str, Column]) -> Panel:
         """Move finished columns into one struct, which later layers carry as one value."""
         kept = [c for c in self.names if c not in columns]
-        return self._with(self.df.select(*kept, F.struct(*columns).alias(name)), [*kept, name])
+        struct = F.struct(*[x.alias(c) for c, x in columns.items()])
+        return self._with(self.df.select(*kept, struct.alias(name)), [*kept, name])
 
     def drop_temporaries(self) -> Panel:
         """Forget a module's working columns (two leading underscores and a t)."""

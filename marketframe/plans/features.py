@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.operators import candles, memory, technical
-from marketframe.operators.bars import inf_to_null
+from marketframe.operators.bars import finite
 from marketframe.operators.candles import BEARISH, BULLISH
 from marketframe.operators.memory import LAG_TARGETS
 from marketframe.operators.panel import close_panel, open_panel
@@ -67,13 +67,15 @@ def build_features(
         p = module(p)
         new = [c for c in p.names if c not in before]
         order += new
-        finished = [c for c in new if c not in READ_LATER]
-        if finished:
-            packs[f"__{name}"] = finished
-            p = p.pack(f"__{name}", finished)
+        done = {c: finite(c) for c in new if c not in READ_LATER}
+        if done:
+            packs[f"__{name}"] = list(done)
+            p = p.pack(f"__{name}", done)
     if "sentiment_mean" in p:
         before = set(p.names)
         p = add_rolling_sentiment_features(p)
         order += [c for c in p.names if c not in before]
     place = {c: f"{pack}.{c}" for pack, columns in packs.items() for c in columns}
-    return inf_to_null(close_panel(p, [F.col(place.get(c, c)).alias(c) for c in order]))
+    left = {c: t for c, t in p.df.select(*[c for c in order if c not in place]).dtypes}
+    last = {c: finite(c) if t == "double" else F.col(c) for c, t in left.items()}
+    return close_panel(p, [(last[c] if c in last else F.col(place[c])).alias(c) for c in order])

@@ -27,9 +27,16 @@ MAX_DESCRIPTION = 200
 MIN_SCORABLE = 10
 
 
+# White space at either end of a text that does not count (fixed values).
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(x: Column) -> Column:
     """Trim all white space, line breaks and tabs included; NULL becomes empty."""
-    return F.regexp_replace(F.coalesce(x, F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    return F.btrim(F.coalesce(x, F.lit("")), F.lit(WHITE_SPACE))
 
 
 def clean_text(title: Column, description: Column) -> Column:

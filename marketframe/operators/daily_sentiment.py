@@ -12,11 +12,10 @@ from marketframe.functions.scalars import NEUTRAL_DAY, strip
 from marketframe.operators.articles import (
     align_to_trading_day,
     score_articles,
-    symbols_with_prices,
     trading_days,
 )
 from marketframe.operators.panel import Panel, close_panel, open_panel
-from marketframe.operators.skew import first_per_group
+from marketframe.operators.skew import first_per_group, keep
 
 COLUMNS = list(NEUTRAL_DAY)
 _DAY = ["symbol", "trading_day"]
@@ -90,14 +89,16 @@ def build_daily_sentiment(
 ) -> DataFrame:
     """Articles of all symbols, scored in one pass, to daily sentiment.
 
-    Symbols without bars are left out. What cannot count (late, or a repeated title of
-    the same day) is dropped before scoring: the scorer is the expensive step, and the
-    first article of a title is the one that counts either way.
+    Symbols without bars have no trading day and fall out. What cannot count (late, or a
+    repeated title of the same day) is dropped before scoring: the scorer is the expensive
+    step, and the first article of a title is the one that counts either way. The kept
+    articles are computed once, since scoring reads them for the distinct texts, for
+    the hot ones, and for the join back.
     """
-    dated = align_to_trading_day(symbols_with_prices(articles, bars), bars)
+    dated = align_to_trading_day(articles, bars)
     titles = dated.withColumn("__title", F.lower(strip(F.col("title"))))
     kept = first_per_group(titles, [*_DAY, "__title"], [F.col("seq")]).drop("__title")
-    return fill_calendar(news_days(score_articles(kept, scorer, **scoring)), bars)
+    return fill_calendar(news_days(score_articles(keep(kept), scorer, **scoring)), bars)
 
 
 def merge_price_and_sentiment(

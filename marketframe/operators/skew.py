@@ -75,3 +75,13 @@ def hash_ranks(df: DataFrame, by: str, hash_hex: str) -> DataFrame:
         .withColumn("rank", F.col("__before") + F.row_number().over(within))
         .drop("__bucket", "__before")
     )
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """A result that several later steps read, computed once.
+
+    Checkpointed where the cluster (or a test) names a checkpoint folder, so that a lost executor
+    costs no recomputation; otherwise cached, and recomputed where it is lost.
+    """
+    named = df.sparkSession.sparkContext.getCheckpointDir()
+    return df.checkpoint() if named else df.persist()

@@ -16,6 +16,7 @@ from marketframe.operators.daily_sentiment import (
 from marketframe.operators.memory import add_lag_features, add_return_features
 from marketframe.operators.model import target_label, target_threshold
 from marketframe.operators.panel import MAX_ROWS, longest_symbol
+from marketframe.operators.skew import keep
 from marketframe.plans.features import build_features
 from marketframe.plans.registry import feature_columns
 
@@ -31,8 +32,8 @@ def simple_features(bars: DataFrame, lags: list[int] = (1, 2, 3, 5, 10), horizon
 
 
 def settled(df: DataFrame, longest: int) -> DataFrame:
-    """Checkpointed if the next operator will have to read it twice (see ``open_panel``)."""
-    return df.checkpoint() if longest > MAX_ROWS else df
+    """Computed once if the next operator will have to read it twice (see ``open_panel``)."""
+    return keep(df) if longest > MAX_ROWS else df
 
 
 def assemble(

@@ -8,6 +8,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketframe.session import checkpoint_dir
+
 MAX_HOT = 256
 SALTS = 64
 
@@ -83,5 +85,4 @@ def keep(df: DataFrame) -> DataFrame:
     Checkpointed where the cluster (or a test) names a checkpoint folder, so that a lost executor
     costs no recomputation; otherwise cached, and recomputed where it is lost.
     """
-    named = df.sparkSession.sparkContext.getCheckpointDir()
-    return df.checkpoint() if named else df.persist()
+    return df.checkpoint() if checkpoint_dir(df.sparkSession) else df.persist()

@@ -43,10 +43,12 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The shared checkpoint folder; ``fallback`` only counts where the cluster named none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if fallback:
-        spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
+    """The shared checkpoint folder, set on the context if it is not yet.
+
+    The cluster names it in ``spark.checkpoint.dir``; ``fallback`` only counts where it named none.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or fallback
+    if named and not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()

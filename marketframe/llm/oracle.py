@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketframe.llm import secrets
+from marketframe.llm import mixing, secrets
 
 
 def secrets_sql() -> str:
@@ -44,6 +44,36 @@ FROM docs LEFT JOIN reported USING (row_no) GROUP BY row_no
 """
 
 
+def mixing_sql() -> str:
+    """Source mix: targets by raising a common level, then one running sum over each source's keys."""
+    marks = mixing.MARKS.replace("'", "''")
+    cycle = ", ".join(f"{w}.0" for w in mixing.CYCLE)
+    return f"""
+WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS body FROM documents),
+  marked AS (SELECT doc_id, source, len(regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+')) AS size,
+    md5(concat_ws('|', '42', coalesce(CAST(doc_id AS VARCHAR), ''), md5(body))) AS digest,
+    CASE WHEN length(body) > 0 THEN CAST(length(body) - length(translate(body, '{marks}', '')) AS DOUBLE) / length(body) ELSE 0.0::DOUBLE END AS share FROM docs),
+  keyed AS (SELECT doc_id, source, size, -ln((CAST('0x' || substr(digest, 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
+    / greatest(0.1::DOUBLE, 1.0::DOUBLE - 3.0::DOUBLE * share) AS k FROM marked),
+  sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM keyed GROUP BY source),
+  weighed AS (SELECT source, source_size, [{cycle}][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.CYCLE)} + 1)::INT]::DOUBLE AS w,
+    source_size * {mixing.MOST_EPOCHS}::DOUBLE AS bound FROM sizes),
+  prefix AS (SELECT *, bound / w AS reach, sum(w) OVER () AS all_w, sum(source_size) OVER () * {mixing.SHARE}::DOUBLE AS total,
+    coalesce(sum(w) OVER before, 0) AS w_before, coalesce(sum(bound) OVER before, 0) AS bound_before FROM weighed
+    WINDOW before AS (ORDER BY bound / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  levels AS (SELECT *, max(CASE WHEN (total - bound_before) / (all_w - w_before) <= reach THEN (total - bound_before) / (all_w - w_before) END) OVER () AS level FROM prefix),
+  targets AS (SELECT source, source_size, CASE WHEN level IS NULL OR reach <= level THEN bound ELSE level * w END AS target FROM levels),
+  plan AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), {int(mixing.MOST_EPOCHS)})::BIGINT ELSE 0 END AS epochs FROM targets),
+  sums AS (SELECT k.doc_id, k.size, k.source, p.source_size, p.target, p.epochs, k.k,
+    sum(k.size) OVER (PARTITION BY k.source ORDER BY k.k) - k.size / 2 <= p.target - p.epochs * p.source_size AS fits
+    FROM keyed k JOIN plan p ON k.source IS NOT DISTINCT FROM p.source),
+  ends AS (SELECT *, max(CASE WHEN fits THEN k END) OVER (PARTITION BY source) AS last_k FROM sums)
+SELECT doc_id, size::BIGINT AS size, source_size, target, epochs + CASE WHEN k <= last_k THEN 1 ELSE 0 END AS times,
+  (epochs + CASE WHEN k <= last_k THEN 1 ELSE 0 END) * size AS taken FROM ends
+"""
+
+
 ORACLE = {
+    "op4_mixing": mixing_sql(),
     "op1_secrets": secrets_sql(),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketframe.llm import secrets, simhash
+from marketframe.llm import mixing, secrets, simhash
 from marketframe.llm.oracle import ORACLE  # noqa: F401
 
 
@@ -20,7 +20,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op3_simhash": op3_simhash,
+    "op4_mixing": op4_mixing,
 }

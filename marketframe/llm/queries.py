@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketframe.llm import mixing, secrets, simhash
+from marketframe.llm import mixing, packing, secrets, simhash
 from marketframe.llm.oracle import ORACLE  # noqa: F401
 
 
@@ -24,8 +24,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
+    "op5_packing": op5_packing,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketframe.llm import mixing, packing, secrets, simhash
+from marketframe.llm import mixing, packing, secrets, simhash, token_counts
 from marketframe.llm.oracle import ORACLE  # noqa: F401
 
 
@@ -28,9 +28,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
+    "op6_token_counts": op6_token_counts,
 }

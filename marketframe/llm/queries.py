@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm import linededup, mixing, packing, quality, secrets, simhash, token_counts, toxicity
+from marketframe.llm import linededup, merkle, mixing, packing, quality, secrets, simhash, token_counts, toxicity
 from marketframe.llm.learn import held_out
 from marketframe.llm.oracle import ORACLE  # noqa: F401
 
@@ -45,6 +45,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.neighbour_report(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -60,5 +64,6 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
     "op8_line_dedup": op8_line_dedup,
+    "op9_merkle": op9_merkle,
     "op10_toxicity": op10_toxicity,
 }

@@ -16,6 +16,7 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,6 +30,8 @@ LIMIT = 2048
 BLOCK_BYTES = 8 << 20
 BLOCK_DOCS = 1 << 16
 HELD = 1 << 21
+#: In place of a pre-token in the row that lists a block's documents: (id, id is null, bytes) of each.
+DOCS = "\ndocs"
 
 #: The pre-tokens of the word BPE (fixed pattern), for text that its normalizer only lower-cases.
 WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -113,13 +116,10 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, i
                 block = (task << 24) + nth
                 nth += 1
                 pieces, posts = block_rows(texts[at:end], words_only, special)
-                n = len(pieces) + 1
+                own = np.array([[i or 0, i is None, n] for i, n in zip(ids[at:end], sizes[at:end], strict=True)], "<i8").tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([*pieces, None], pa.string()), pa.array([block] * n, pa.int64()), pa.array([*posts, None], pa.binary()),
-                        pa.array([None] * (n - 1) + [ids[at:end]], pa.list_(pa.int64())), pa.array([None] * (n - 1) + [sizes[at:end]], pa.list_(pa.int64())),
-                    ],
-                    ["piece", "block", "posts", "ids", "sizes"],
+                    [pa.array([*pieces, DOCS]), pa.array([block] * (len(pieces) + 1), pa.int64()), pa.array([*posts, own], pa.binary())],
+                    ["piece", "block", "posts"],
                 )
                 at = end
 
@@ -136,14 +136,13 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, i
             starts = np.flatnonzero(np.concatenate([[True], np.diff(block[first]) != 0]))
             ends = [*starts[1:], len(first)]
             posts = [pairs[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
-            empty = pa.nulls(len(posts), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(block[first][starts]), pa.array(posts, pa.binary()), empty, empty], ["block", "posts", "ids", "sizes"])
+            return pa.RecordBatch.from_arrays([pa.array([""] * len(posts)), pa.array(block[first][starts]), pa.array(posts, pa.binary())], ["piece", "block", "posts"])
 
         for b in batches:
             whole = pa.Table.from_batches([b])
-            docs_rows = whole.filter(whole.column(0).is_null()).select([1, 2, 3, 4])
-            yield from docs_rows.to_batches()
-            rows = whole.filter(whole.column(0).is_valid())
+            of_docs = pc.equal(whole.column(0), DOCS)
+            yield from whole.filter(of_docs).to_batches()
+            rows = whole.filter(pc.invert(of_docs))
             pieces = rows.column(0).to_pylist()
             fresh = [p for p in dict.fromkeys(pieces) if p not in known]
             if len(known) > 1_000_000:
@@ -162,16 +161,17 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, i
             yield sums()
 
     def add(g: pd.DataFrame) -> pd.DataFrame:
-        of = g[g["ids"].notna()].iloc[0]
-        total = np.zeros(len(of["sizes"]), np.int64)
-        for p in g.loc[g["posts"].notna(), "posts"]:
+        own = np.frombuffer(g.loc[g["piece"] == DOCS, "posts"].iloc[0], "<i8").reshape(-1, 3)
+        total = np.zeros(len(own), np.int64)
+        for p in g.loc[g["piece"] != DOCS, "posts"]:
             pairs = np.frombuffer(p, "<i8").reshape(-1, 2)
             total[pairs[:, 0]] += pairs[:, 1]  # each document at most once in a row
-        ids = pd.array([None if x is None or x != x else int(x) for x in of["ids"]], dtype="Int64")
-        return pd.DataFrame({"doc_id": ids, "n_bytes": np.asarray(of["sizes"], np.int64), "n_tokens": total, "over_limit": total > limit})
+        ids = pd.arrays.IntegerArray(own[:, 0].copy(), own[:, 1] > 0)
+        return pd.DataFrame({"doc_id": ids, "n_bytes": own[:, 2], "n_tokens": total, "over_limit": total > limit})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    cuts = rows.mapInArrow(cut, "piece string, block long, posts binary, ids array<long>, sizes array<long>")
-    spread = F.when(F.col("piece").isNull(), F.xxhash64("block")).otherwise(F.xxhash64("piece"))
-    summed = cuts.repartition(spread).mapInArrow(join, "block long, posts binary, ids array<long>, sizes array<long>")
+    schema = "piece string, block long, posts binary"
+    cuts = rows.mapInArrow(cut, schema)
+    spread = F.when(F.col("piece") == DOCS, F.xxhash64("block")).otherwise(F.xxhash64("piece"))
+    summed = cuts.repartition(spread).mapInArrow(join, schema)
     return summed.groupBy("block").applyInPandas(add, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm import linededup, merkle, mixing, packing, quality, secrets, simhash, token_counts, toxicity
+from marketframe.llm import linededup, merkle, mixing, packing, quality, secrets, simhash, token_counts, toxicity, vectors
 from marketframe.llm.learn import held_out
 from marketframe.llm.oracle import ORACLE  # noqa: F401
 
@@ -18,6 +18,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op2_vectors": op2_vectors,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,

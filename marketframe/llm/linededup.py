@@ -172,6 +172,8 @@ def without_common_lines(docs: DataFrame, least_words: int = LEAST_WORDS, id_col
     gone = settle(deletions(docs, least_words, id_col, text_col)).select(
         F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("places").alias("__places")
     )
+    # The deletions grow with the documents: no broadcast, whatever a small table's size suggests.
+    gone = gone.hint("merge")
     mine = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & text_key(text_col).eqNullSafe(F.col("__key"))
     lines = F.split(F.col(text_col), "\n", -1)
     # One flag per line, so that the lines are filtered in one pass.

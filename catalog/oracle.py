@@ -159,7 +159,7 @@ def _clean() -> str:
     return c.out(OHLCV)
 
 
-ORACLE["clean_bars"] = _clean()
+ORACLE["clean_bars"] = ORACLE["clean_bars_blocked"] = _clean()
 _PRICES = ["open", "high", "low", "close"]
 ORACLE["validate_timeseries"] = f"""WITH {DIRTY}, counts AS (SELECT symbol, count(*) AS n_bars,
     CAST(0 AS BIGINT) AS duplicate_times,
@@ -262,6 +262,7 @@ ORACLE["trend_slopes"] = trend(Chain(HOURLY)).out(["ma5_slope", "ma10_slope", "m
 ORACLE["trend_lr_slope"] = trend(Chain(HOURLY)).out(["lr_slope_5", "lr_slope_10", "lr_slope_20"])
 ORACLE["trend_adx"] = trend(Chain(HOURLY)).out(["di_plus", "di_minus", "adx_proxy"])
 ORACLE["trend_streaks"] = trend(Chain(DAILY)).out([], ["hh_streak", "ll_streak"])
+ORACLE["features_blocked"] = trend(Chain(DAILY)).out(["sma_20", "sma_200", "adx_proxy"], ["hh_streak", "ll_streak"])
 
 # ---- momentum ----
 
@@ -409,7 +410,7 @@ def volume(c: Chain) -> Chain:
 ORACLE["volume_ratio"] = volume(Chain(HOURLY)).out(
     ["volume_ma20", "volume_ratio", "close_position", "bullish_vol_conf", "bearish_vol_conf"],
     ["volume_spike", "volume_extreme_spike", "volume_low", "volume_trend", "price_vol_confirm"])
-ORACLE["volume_obv"] = volume(Chain(HOURLY)).out(["obv_change_5d", "obv_change_20d"], ["obv_above_ma"])
+ORACLE["volume_obv"] = ORACLE["volume_obv_blocked"] = volume(Chain(HOURLY)).out(["obv_change_5d", "obv_change_20d"], ["obv_above_ma"])
 ORACLE["volume_vwap"] = volume(Chain(HOURLY)).out(["money_flow", "money_flow_ma10", "vwap_20", "dist_to_vwap"])
 ORACLE["volume_rank"] = _ranked("volume", 20, 10, "vol_percentile", Chain(HOURLY)).out(["vol_percentile"])
 
@@ -590,7 +591,7 @@ def _sequence() -> str:
     return c.out(doubles, ["dir_streak"])
 
 
-ORACLE["sequence"] = _sequence()
+ORACLE["sequence"] = ORACLE["sequence_blocked"] = _sequence()
 
 
 def sr(c: Chain) -> Chain:
@@ -704,6 +705,9 @@ ORACLE["feature_consistency"] = _consistency()
 
 # ---- news ----
 
+TEXT_FEED = """feed AS MATERIALIZED (SELECT doc_id AS seq, text FROM documents UNION ALL SELECT doc_id + 10000000,
+    translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') FROM documents WHERE source = 'src0')"""
+
 STRIP = r"regexp_replace(coalesce({x}, ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 
 
@@ -712,7 +716,7 @@ def strip(x: str) -> str:
 
 
 ARTICLES = """base AS (SELECT ['click', 'error', 'purchase', 'signup', 'view'][CAST(doc_id % 5 AS INT) + 1] AS symbol,
-    doc_id AS seq, substr(text, 1, 80) AS title, substr(text, 81) AS description, source AS publisher,
+    doc_id AS seq, split_part(text, chr(10), 1) AS title, substr(text, length(split_part(text, chr(10), 1)) + 2) AS description, source AS publisher,
     strftime(DATE '2023-12-30' + CAST((doc_id // 5) % 34 AS INT), '%Y-%m-%d') AS date FROM documents),
     articles AS MATERIALIZED (SELECT * FROM base UNION ALL SELECT symbol, seq + 10000000,
     translate(title, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), description, publisher, date
@@ -723,7 +727,7 @@ def known(x: str) -> str:
     return f"CASE WHEN lower({strip(x)}) IN ('[removed]', 'n/a', 'null', 'none', '') THEN '' ELSE {strip(x)} END"
 
 
-TEXTS = f"""parts AS (SELECT *, {known('title')} AS head, substr({known('description')}, 1, 200) AS rest FROM articles),
+TEXTS = f"""parts AS (SELECT *, {known('title')} AS head, {known('description')} AS rest FROM articles),
     texts AS MATERIALIZED (SELECT * EXCLUDE (head, rest),
     CASE WHEN head <> '' AND rest <> '' THEN head || '. ' || rest ELSE head || rest END AS text FROM parts)"""
 
@@ -752,8 +756,8 @@ ORACLE["recent_news"] = f"""WITH {ARTICLES} SELECT symbol, seq, date FROM articl
     WHERE CAST(date AS DATE) >= (SELECT max(CAST(date AS DATE)) FROM articles) - 14
     QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC, seq) <= 20"""
 ORACLE["clean_text"] = f"WITH {ARTICLES}, {TEXTS} SELECT symbol, seq, text FROM texts"
-ORACLE["text_duplication_report"] = f"""WITH {ARTICLES}, c AS (SELECT count(*) AS n_texts,
-    count(DISTINCT md5(lower({strip('title')}))) AS n_distinct FROM articles)
+ORACLE["text_duplication_report"] = f"""WITH {TEXT_FEED}, c AS (SELECT count(*) AS n_texts,
+    count(DISTINCT md5(lower({strip('text')}))) AS n_distinct FROM feed)
     SELECT n_texts, n_distinct, n_texts - n_distinct AS n_repeated, {r6('1 - n_distinct / n_texts', 'repeat_share')} FROM c"""
 ORACLE["symbols_with_prices"] = f"""WITH {ARTICLES}, {WEEKDAYS} SELECT symbol, count(*) AS n FROM articles
     WHERE symbol IN (SELECT symbol FROM bars WHERE symbol <> 'signup') GROUP BY symbol"""
@@ -868,8 +872,8 @@ ORACLE["coverage_report"] = f"""WITH {DAILY_SENTIMENT} SELECT symbol,
 
 # ---- headlines ----
 
-FEED = ARTICLES + ", feed AS MATERIALIZED (SELECT seq, title AS text FROM articles)"
-LABELLED = """labelled AS MATERIALIZED (SELECT doc_id AS seq, substr(text, 1, 80) AS text,
+FEED = TEXT_FEED
+LABELLED = """labelled AS MATERIALIZED (SELECT doc_id AS seq, text,
     CASE WHEN toxic = 1 THEN 1 WHEN quality = 1 THEN 0 ELSE 2 END AS label FROM documents JOIN labels USING (doc_id))"""
 CHANCES = f"""guessed AS MATERIALIZED (SELECT *, CASE WHEN p >= n AND p >= u THEN 0 WHEN n >= u THEN 1 ELSE 2 END AS prediction
     FROM (SELECT *, {probabilities('k')} FROM (SELECT *, md5(lower({strip('text')})) AS k FROM SOURCE)))"""
@@ -916,10 +920,10 @@ ORACLE["prf_report"] = f"""WITH {_GUESSED}, c AS (SELECT class,
 ORACLE["weighted_loss"] = f"""WITH {_GUESSED}, {WEIGHTS} SELECT
     {r6("sum(weight * -ln(greatest(CASE g.label WHEN 0 THEN p WHEN 1 THEN g.n ELSE u END, 1e-12))) / sum(weight)", 'loss')},
     {r6(f"avg({flag('g.label = prediction')})", 'accuracy')}, count(*) AS n FROM guessed g JOIN weights w ON w.label = g.label"""
-ORACLE["gold_check"] = f"""WITH {FEED}, {LABELLED}, {CHANCES.replace('SOURCE', 'feed')},
-    found AS (SELECT DISTINCT text, prediction FROM guessed)
-    SELECT count(*) AS n, CAST(sum({flag('label = prediction')}) AS BIGINT) AS n_right,
-    {r6(f"avg({flag('label = prediction')})", 'gold_accuracy')} FROM labelled LEFT JOIN found USING (text)"""
+_RIGHT = "EXISTS (FROM guessed g WHERE g.text = l.text AND g.prediction = l.label)"
+ORACLE["gold_check"] = f"""WITH {FEED}, {LABELLED}, {CHANCES.replace('SOURCE', 'feed')}
+    SELECT count(*) AS n, CAST(sum({flag(_RIGHT)}) AS BIGINT) AS n_right,
+    {r6(f"avg({flag(_RIGHT)})", 'gold_accuracy')} FROM labelled l"""
 
 # ---- labels and splits ----
 

@@ -33,12 +33,15 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
     return fn
 
 
-def features_query(name: str, bars: Callable, modules: list[str], columns: list[str]) -> None:
+def features_query(
+    name: str, bars: Callable, modules: list[str], columns: list[str], max_rows: int | None = None, halo: int | None = None
+) -> None:
     """Register the given columns of the given feature modules, over all bars."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
         most = t.longest(spark, sf, bars)
-        return build_features(bars(spark, sf), modules=modules, longest=most).select("symbol", "ts", *columns)
+        f = build_features(bars(spark, sf), modules=modules, longest=most, max_rows=max_rows, halo=halo)
+        return f.select("symbol", "ts", *columns)
 
     run.__name__ = name
     query(run)
@@ -76,6 +79,11 @@ def clean_bars(spark, sf):
     return bar_ops.clean_bars(_dirty_bars(spark, sf))
 
 
+@query
+def clean_bars_blocked(spark, sf):
+    return bar_ops.clean_bars(_dirty_bars(spark, sf), max_rows=100)
+
+
 @query
 def validate_timeseries(spark, sf):
     return bar_ops.validate_timeseries(_dirty_bars(spark, sf), unit="hour")
@@ -133,6 +141,8 @@ features_query("trend_slopes", t.bars_hourly, ["trend"], ["ma5_slope", "ma10_slo
 features_query("trend_lr_slope", t.bars_hourly, ["trend"], ["lr_slope_5", "lr_slope_10", "lr_slope_20"])
 features_query("trend_adx", t.bars_hourly, ["trend"], ["di_plus", "di_minus", "adx_proxy"])
 features_query("trend_streaks", t.bars_daily, ["trend"], ["hh_streak", "ll_streak"])
+# Symbols cut into blocks far shorter than by default.
+features_query("features_blocked", t.bars_daily, ["trend"], ["sma_20", "sma_200", "adx_proxy", "hh_streak", "ll_streak"], 400, 300)
 features_query("momentum_rsi", t.bars_daily, ["momentum"], [
     "rsi_7", "rsi_14", "rsi_21", "rsi_overbought", "rsi_oversold", "rsi_neutral",
     "rsi_momentum", "rsi_momentum_3d", "rsi_normalized", "rsi_fast_slow_diff",
@@ -168,6 +178,7 @@ features_query("volume_ratio", t.bars_hourly, ["volume"], [
     "price_vol_confirm", "close_position", "bullish_vol_conf", "bearish_vol_conf",
 ])
 features_query("volume_obv", t.bars_hourly, ["volume"], ["obv_change_5d", "obv_change_20d", "obv_above_ma"])
+features_query("volume_obv_blocked", t.bars_hourly, ["volume"], ["obv_change_5d", "obv_change_20d", "obv_above_ma"], 100, 100)
 features_query("volume_vwap", t.bars_hourly, ["volume"], ["money_flow", "money_flow_ma10", "vwap_20", "dist_to_vwap"])
 features_query("volume_rank", t.bars_hourly, ["volume"], ["vol_percentile"])
 features_query("candle_geometry", t.bars_hourly, ["volatility", "geometry"], [
@@ -204,6 +215,10 @@ features_query("sequence", t.bars_hourly, [*PATTERN_INPUTS, "sequence"], [
     *[f"{side}_candles_{k}" for k in (3, 5, 10) for side in ("bull", "bear")],
     *registry.FEATURE_GROUPS["sequence"],
 ])
+features_query("sequence_blocked", t.bars_hourly, [*PATTERN_INPUTS, "sequence"], [
+    *[f"{side}_candles_{k}" for k in (3, 5, 10) for side in ("bull", "bear")],
+    *registry.FEATURE_GROUPS["sequence"],
+], 100, 100)
 features_query("sr_proximity", t.bars_daily, ["sr_proximity"], registry.FEATURE_GROUPS["sr_proximity"])
 features_query("lags", t.bars_daily, ["momentum", "geometry", "lags"], [
     f"{c}_lag{k}" for c in ("close", "rsi_14", "body_ratio", "candle_direction") for k in memory.LAG_PERIODS
@@ -271,7 +286,7 @@ def clean_text(spark, sf):
 
 @query
 def text_duplication_report(spark, sf):
-    return news.text_duplication_report(t.articles(spark, sf), "title")
+    return news.text_duplication_report(t.headline_feed(spark, sf), "text")
 
 
 @query

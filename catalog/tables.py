@@ -70,15 +70,15 @@ def longest(spark: SparkSession, sf: str, bars) -> int:
 
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as articles, plus an upper-case copy of what ``src0`` published."""
+    """Documents as articles (the first line is the title), plus an upper-case copy of what ``src0`` published."""
     docs = table(spark, sf, "documents")
     names = F.array(*[F.lit(s) for s in SYMBOLS])
     days = F.pmod(F.floor(F.col("doc_id") / 5), F.lit(34)).cast("int")
     base = docs.select(
         F.get(names, F.pmod("doc_id", F.lit(5)).cast("int")).alias("symbol"),
         F.col("doc_id").alias("seq"),
-        F.substring("text", 1, 80).alias("title"),
-        F.expr("substring(text, 81)").alias("description"),
+        F.substring_index("text", "\n", 1).alias("title"),
+        F.expr("substring(text, length(substring_index(text, '\n', 1)) + 2)").alias("description"),
         F.col("source").alias("publisher"),
         F.date_format(F.date_add(F.lit("2023-12-30").cast("date"), days), "yyyy-MM-dd").alias("date"),
     )
@@ -128,16 +128,20 @@ def scored_articles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def headline_feed(spark: SparkSession, sf: str) -> DataFrame:
-    """Titles of all articles: seq, text."""
-    return articles(spark, sf).select("seq", F.col("title").alias("text"))
+    """Whole documents as headlines, plus an upper-case copy of what ``src0`` published: seq, text."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), "text", "source")
+    copies = docs.where(F.col("source") == "src0").withColumns({
+        "seq": F.col("seq") + 10_000_000, "text": F.translate("text", LOWER, UPPER)
+    })
+    return docs.unionByName(copies).drop("source")
 
 
 def labelled_headlines(spark: SparkSession, sf: str) -> DataFrame:
-    """Titles of labelled documents: toxic 1, good 0, others 2; seq is the document."""
+    """Labelled documents: toxic 1, good 0, others 2; seq is the document."""
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     kind = F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 0).otherwise(2)
     return docs.join(labels, "doc_id").select(
-        F.col("doc_id").alias("seq"), F.substring("text", 1, 80).alias("text"), kind.alias("label")
+        F.col("doc_id").alias("seq"), "text", kind.alias("label")
     )
 
 

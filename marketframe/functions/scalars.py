@@ -23,7 +23,6 @@ LABEL_IDS = {"positive": 0, "negative": 1, "neutral": 2}
 LABEL_NAMES = {i: n for n, i in LABEL_IDS.items()}
 # Texts that stand for no text (fixed values).
 PLACEHOLDERS = ["[removed]", "n/a", "null", "none", ""]
-MAX_DESCRIPTION = 200
 MIN_SCORABLE = 10
 
 
@@ -39,14 +38,16 @@ def strip(x: Column) -> Column:
     return F.btrim(F.coalesce(x, F.lit("")), F.lit(WHITE_SPACE))
 
 
-def clean_text(title: Column, description: Column) -> Column:
-    """The text to score: title and the first 200 characters of the description."""
+def clean_text(title: Column, description: Column, max_description: int | None = None) -> Column:
+    """The text to score: title and description, or the first ``max_description`` characters of it."""
 
     def known(x: Column) -> Column:
         x = strip(x)
         return F.when(F.lower(x).isin(PLACEHOLDERS), F.lit("")).otherwise(x)
 
-    head, rest = known(title), F.substring(known(description), 1, MAX_DESCRIPTION)
+    head, rest = known(title), known(description)
+    if max_description is not None:
+        rest = F.substring(rest, 1, max_description)
     both = (head != "") & (rest != "")
     return F.when(both, F.concat(head, F.lit(". "), rest)).otherwise(F.concat(head, rest))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,21 +12,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketframe.functions.scalars import clean_text, is_scorable, parse_day, score_struct, strip, text_key
-from marketframe.operators.skew import first_per_group, skew_safe_join
+from marketframe.operators.skew import first_per_group
 
 Scorer = Callable[[pd.Series], pd.DataFrame]
 PROBABILITIES = ["positive", "negative", "neutral"]
 
 
-def with_clean_text(articles: DataFrame) -> DataFrame:
-    """Add ``text``: what the scorer reads."""
-    return articles.withColumn("text", clean_text(F.col("title"), F.col("description")))
+def with_clean_text(articles: DataFrame, max_description: int | None = None) -> DataFrame:
+    """Add ``text``: what the scorer reads. A model with a short window may limit the description."""
+    return articles.withColumn("text", clean_text(F.col("title"), F.col("description"), max_description))
 
 
-def symbols_with_prices(articles: DataFrame, bars: DataFrame, spread_by: str = "seq") -> DataFrame:
+def symbols_with_prices(articles: DataFrame, bars: DataFrame) -> DataFrame:
     """Only articles of symbols that have bars."""
-    symbols = bars.select("symbol").distinct()
-    return skew_safe_join(articles, symbols, ["symbol"], F.col(spread_by), "left_semi")
+    return articles.join(bars.select("symbol").distinct(), "symbol", "left_semi")
 
 
 def dedup_articles(articles: DataFrame, by: list[str]) -> DataFrame:
@@ -44,28 +45,23 @@ def trading_days(bars: DataFrame) -> DataFrame:
 def align_to_trading_day(articles: DataFrame, bars: DataFrame) -> DataFrame:
     """Add ``trading_day``: the first day with a bar on or after the article's date.
 
-    Articles without a readable date, or after the last bar, are dropped. The search runs
-    over the distinct days of each symbol (a calendar's worth of rows), not over articles;
-    articles then look their day up.
+    Articles without a readable date, or after the last bar, are dropped. Every calendar day of a
+    symbol up to its last bar gets its trading day beforehand (a calendar's worth of rows), so
+    articles are read once and look their day up; days before the first bar look it up by the symbol's
+    earliest day, which is one day too.
     """
     dated = articles.withColumn("__day", parse_day(F.col("date"))).where(F.col("__day").isNotNull())
-    asked = dated.select("symbol", F.col("__day").alias("day")).distinct()
-    either = asked.withColumn("open_day", F.lit(None).cast("date")).unionByName(
-        trading_days(bars).withColumn("open_day", F.col("day"))
+    days = trading_days(bars).where("symbol IS NOT NULL AND day IS NOT NULL")
+    previous = F.lag("day").over(Window.partitionBy("symbol").orderBy("day"))
+    # A trading day stands for the days after the one before it; the first one stands for itself.
+    since = F.coalesce(F.date_add(previous, 1), F.col("day"))
+    lookup = days.withColumn("__since", since).select(
+        "symbol", F.col("day").alias("trading_day"), F.explode(F.sequence("__since", "day")).alias("__asked")
     )
-    # Newest first, a trading day ahead of an article day of the same date: the smallest
-    # trading day seen so far is the next one.
-    w = (
-        Window.partitionBy("symbol")
-        .orderBy(F.col("day").desc(), F.col("open_day").desc_nulls_last())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    lookup = (
-        either.select("symbol", F.col("day").alias("__day"), "open_day", F.min("open_day").over(w).alias("trading_day"))
-        .where(F.col("open_day").isNull() & F.col("trading_day").isNotNull())
-        .drop("open_day")
-    )
-    return skew_safe_join(dated, lookup, ["symbol", "__day"], F.col("seq")).drop("__day")
+    bounds = days.groupBy("symbol").agg(F.min("day").alias("__first"))
+    asked = F.greatest("__day", "__first").alias("__asked")
+    found = dated.join(bounds, "symbol").select(*dated.columns, asked)
+    return found.join(lookup, ["symbol", "__asked"]).select(*articles.columns, "trading_day")
 
 
 def distinct_texts(df: DataFrame, text: str, seq: str) -> DataFrame:
@@ -82,31 +78,38 @@ def score_texts(
     scorer: Callable[[], Scorer] | object,
     batch_size: int = 32,
     partitions: int | None = None,
+    carry_text: bool = False,
 ) -> DataFrame:
-    """Class probabilities for each row of (text_key, text).
+    """Class probabilities for each row of (text_key, text), and the text if asked for.
 
     ``scorer`` is either a fitted ``pyspark.ml`` model that reads ``text`` and writes
     ``probability`` ordered positive, negative, neutral, or a function that loads a model
     and returns what maps a Series of texts to these three columns. The latter
-    is called once per task. Scoring costs far more than its bytes suggest, so the
+    is called once per Python worker: its model serves all tasks that the worker runs. Scoring costs far more than its bytes suggest, so the
     partition count is set here and not left to be merged by size.
     """
+    keys = ["text_key", "text"] if carry_text else ["text_key"]
     if hasattr(scorer, "transform"):
         p = vector_to_array("probability")
         return scorer.transform(texts).select(
-            "text_key", *[p[i].alias(n) for i, n in enumerate(PROBABILITIES)]
+            *keys, *[p[i].alias(n) for i, n in enumerate(PROBABILITIES)]
         )
 
+    name = f"{scorer.__module__}.{scorer.__qualname__}-{uuid.uuid4().hex}"
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score_series = scorer()
+        # Modules live as long as the worker, and so does what hangs on one.
+        loaded = sys.modules[pd.__name__].__dict__.setdefault("_loaded_scorers", {})
+        if name not in loaded:
+            loaded.clear()  # a worker holds one model
+            loaded[name] = scorer()
         for batch in batches:
-            for at in range(0, len(batch), batch_size):
-                rows = batch.iloc[at : at + batch_size].reset_index(drop=True)
-                found = score_series(rows["text"])[PROBABILITIES].reset_index(drop=True)
-                yield pd.concat([rows[["text_key"]], found], axis=1)
+            parts = [loaded[name](batch["text"].iloc[at : at + batch_size])[PROBABILITIES] for at in range(0, len(batch), batch_size)]
+            found = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=PROBABILITIES, dtype="float64")
+            yield pd.concat([batch[keys].reset_index(drop=True), found], axis=1)
 
     n = partitions or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "text_key string, positive double, negative double, neutral double"
+    schema = ", ".join([*(f"{k} string" for k in keys), *(f"{p} double" for p in PROBABILITIES)])
     return texts.repartition(n, "text_key").mapInPandas(score, schema)
 
 
@@ -115,15 +118,17 @@ def score_articles(
     scorer: Callable[[], Scorer] | object,
     batch_size: int = 32,
     partitions: int | None = None,
+    max_description: int | None = None,
 ) -> DataFrame:
     """Articles plus score, positive, negative, neutral and label.
 
     All symbols go through one pass that scores each distinct text once; texts under 10
     characters get the neutral record.
     """
-    texts = with_clean_text(articles).withColumn("text_key", text_key(F.col("text")))
+    texts = with_clean_text(articles, max_description).withColumn("text_key", text_key(F.col("text")))
     scores = score_texts(distinct_texts(texts, "text", "seq"), scorer, batch_size, partitions)
-    joined = skew_safe_join(texts, scores, ["text_key"], F.col("seq"), "left")
+    # A text that many articles share is skew on their side, which adaptive execution splits.
+    joined = texts.join(scores, "text_key", "left")
     known = F.col("neutral").isNotNull()
     filled = [F.when(known, F.col(n)).otherwise(1.0 if n == "neutral" else 0.0) for n in PROBABILITIES]
     return joined.select(*articles.columns, score_struct(*filled).alias("__score")).select(

@@ -56,10 +56,18 @@ def most_bars(ticks: DataFrame, ts: str, unit: str) -> int:
 
     Costs a scan of one column, without a shuffle; pass it to operators as ``longest``.
     """
-    seconds = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit]
-    at = F.unix_timestamp(F.date_trunc(unit, ts))
-    first, last = ticks.agg(F.min(at), F.max(at)).first()
-    return 0 if first is None else (last - first) // seconds + 1
+    number = unit_number(F.col(ts), unit)
+    first, last = ticks.agg(F.min(number), F.max(number)).first()
+    return 0 if first is None else last - first + 1
+
+
+def unit_number(ts: Column, unit: str) -> Column:
+    """Consecutive whole numbers for consecutive units of time (second, minute, hour, day, week, month)."""
+    start = F.date_trunc(unit, ts).cast("timestamp")
+    if unit == "month":
+        return (F.year(start) * 12 + F.month(start)).cast("bigint")
+    seconds = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 7 * 86400}[unit]
+    return F.floor(F.unix_timestamp(start) / seconds)  # weeks start on Mondays, all at the same remainder
 
 
 def normalize_columns(bars: DataFrame) -> DataFrame:
@@ -83,6 +91,7 @@ def clean_bars(
     ts: str = "ts",
     sequence: str | None = None,
     longest: int | None = None,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Bars fit for features: one per symbol and time, positive consistent prices, no holes.
 
@@ -106,7 +115,7 @@ def clean_bars(
     bad = F.coalesce(F.col("high") < F.col("low"), F.lit(False))
     for c in PRICES:
         bad = bad | F.coalesce(F.col(c) <= 0, F.lit(False))
-    filled = fill_forward(one_each.where(~bad), measures, symbol=symbol, ts=ts, longest=longest)
+    filled = fill_forward(one_each.where(~bad), measures, symbol=symbol, ts=ts, longest=longest, max_rows=max_rows)
     return filled.dropna(subset=PRICES).select(columns)
 
 
@@ -116,7 +125,6 @@ def validate_timeseries(bars: DataFrame, symbol: str = "symbol", ts: str = "ts",
     Missing steps are the units between the first and last bar that have no bar; they are
     reported but do not make a symbol invalid, since markets close.
     """
-    seconds = {"hour": 3600, "day": 86400}[unit]
     per_time = bars.groupBy(symbol, ts).agg(
         F.count("*").alias("__n"),
         *[F.sum(x).alias(n) for n, x in {
@@ -125,12 +133,12 @@ def validate_timeseries(bars: DataFrame, symbol: str = "symbol", ts: str = "ts",
             "crossed_bars": flag(F.col("high") < F.col("low")),
         }.items()],
     )
-    at = F.unix_timestamp(F.col(ts).cast("timestamp"))
+    at = unit_number(F.col(ts), unit)
     report = per_time.groupBy(symbol).agg(
         F.sum("__n").alias("n_bars"),
         (F.sum("__n") - F.count("*")).alias("duplicate_times"),
         *[F.sum(c).alias(c) for c in ("null_values", "bad_prices", "crossed_bars")],
-        (F.floor((F.max(at) - F.min(at)) / seconds) + 1 - F.count("*")).alias("missing_steps"),
+        (F.max(at) - F.min(at) + 1 - F.count("*")).alias("missing_steps"),
     )
     faults = F.col("duplicate_times") + F.col("null_values") + F.col("bad_prices") + F.col("crossed_bars")
     return report.withColumn("is_valid", flag(faults == 0))
@@ -145,7 +153,8 @@ def drop_warmup(features: DataFrame) -> DataFrame:
 
     From a plain filter on n computed columns the optimizer derives a constraint for each
     subset of them (2^n, see spark.sql.constraintPropagation). The random term is always
-    true; a filter that is not deterministic is left alone.
+    true; a filter that is not deterministic is left alone. It is also not passed by later filters:
+    filter symbols and times before calling this.
     """
     complete = reduce(and_, [F.col(f"`{c}`").isNotNull() for c in features.columns])
     return features.where(F.when(F.rand(0) >= 0, complete))

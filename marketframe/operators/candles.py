@@ -22,6 +22,12 @@ BEARISH = [
 ]
 
 
+def direction() -> Column:
+    """1 for a rising bar, -1 for a falling one, else 0."""
+    O, _, _, C = prices()
+    return F.coalesce(F.signum(C - O), F.lit(0.0)).cast("int")
+
+
 @panel_operator
 def add_candle_geometry(p: Panel) -> Panel:
     """Body, wicks and their shares of the bar's range (17 columns).
@@ -46,7 +52,7 @@ def add_candle_geometry(p: Panel) -> Panel:
         "wick_imbalance": safe_div(top - bottom, span),
         "body_position": safe_div(bottom, span),
         "body_midpoint_pos": safe_div((O + C) / 2 - L, span),
-        "candle_direction": F.coalesce(F.signum(body), F.lit(0.0)).cast("int"),
+        "candle_direction": direction(),
         "close_open_pct": safe_div(body, O) * 100,
         "body_vs_atr": nothing if atr is None else safe_div(size, atr),
         "range_vs_atr": nothing if atr is None else safe_div(F.coalesce(span, F.lit(0.0)), atr),

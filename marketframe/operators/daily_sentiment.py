@@ -14,7 +14,7 @@ from marketframe.operators.articles import (
     score_articles,
     trading_days,
 )
-from marketframe.operators.panel import Panel, close_panel, open_panel
+from marketframe.operators.panel import close_panel, open_panel
 from marketframe.operators.skew import first_per_group, keep
 
 COLUMNS = list(NEUTRAL_DAY)
@@ -109,11 +109,9 @@ def merge_price_and_sentiment(
     The row count stays. A value that is missing, also for want of an earlier row, is 0.0 in
     every column, ``positive_ratio`` included.
     """
-    p = open_panel(bars, longest=longest)
     by_day = daily.withColumnsRenamed({"ts": "__day", "symbol": "__symbol"})
     same = (F.col("symbol") == F.col("__symbol")) & (F.to_date("ts") == F.col("__day"))
-    joined = p.df.join(by_day, same, "left").drop("__day", "__symbol")
-    q = Panel(joined, p.symbol, p.ts, p.blocked)
+    q = open_panel(bars.join(by_day, same, "left").drop("__day", "__symbol"), longest=longest)
     shifted = {c: F.coalesce(q.frames.lag(c, shift_days) if shift_days else F.col(c), F.lit(0.0)) for c in COLUMNS}
     return close_panel(q.add(shifted))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marketframe.functions.kernels import round4
 from marketframe.functions.scalars import LABEL_IDS, LABEL_NAMES, label_name, strip, text_key
 from marketframe.operators.articles import distinct_texts, score_texts
-from marketframe.operators.skew import hash_ranks
+from marketframe.operators.skew import first_per_group, hash_ranks
 
 MIN_LENGTH = 15
 MIN_CONFIDENCE = 0.65
@@ -115,15 +115,16 @@ def weak_label(
     stands, however short.
     """
     texts = headlines.groupBy(text_key(F.col("text")).alias("text_key")).agg(F.min_by("text", "seq").alias("text"))
-    p = score_texts(texts, scorer, batch_size, partitions)
+    p = score_texts(texts, scorer, batch_size, partitions, carry_text=True)
     best = F.greatest(*LABEL_IDS)
     label = reduce(
         lambda rest, name: F.when(F.col(name) == best, LABEL_IDS[name]).otherwise(rest),
         reversed(list(LABEL_IDS)),
         F.lit(None).cast("int"),
     )
-    sure = p.where(best >= threshold).select("text_key", label.alias("label"), round4(best).alias("confidence"))
-    return texts.join(sure, "text_key").select("text", "label", "confidence", F.lit("auto").alias("source"))
+    return p.where(best >= threshold).select(
+        "text", label.alias("label"), round4(best).alias("confidence"), F.lit("auto").alias("source")
+    )
 
 
 def oversample_gold(gold: DataFrame, copies: int = GOLD_COPIES) -> DataFrame:
@@ -181,11 +182,17 @@ def split_dataset(
     """Split weak labels plus gold, and oversample gold.
 
     Distinct texts are split first and only training gold is copied, so that no sentence is in
-    two splits. ``reference_order`` copies first and splits the copies.
+    two splits. Sentences are equal up to case and surrounding white space; where the gold list has
+    one, its label counts and weak labels of it go, and of several rows of one kind the first by text
+    and label stays. ``reference_order`` copies first and splits the copies, repeats included.
     """
     if reference_order:
         return stratified_split(build_dataset(labelled, gold, copies), seed, ["text", "source", "copy"])
-    parts = stratified_split(build_dataset(labelled, gold, 1), seed, ["text", "source"]).drop("copy")
+    key = text_key(F.col("text")).alias("__key")
+    first = lambda df: first_per_group(df.withColumn("__key", key), ["__key"], [F.col("text"), F.col("label")])
+    sure = first(gold)
+    weak = first(labelled).join(sure.select("__key"), "__key", "left_anti")
+    parts = stratified_split(build_dataset(weak, sure, 1), seed, ["__key"]).drop("copy", "__key")
     times = F.when((F.col("source") == "gold") & (F.col("split") == "train"), copies).otherwise(1)
     return parts.withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
 
@@ -248,9 +255,14 @@ def weighted_loss_accuracy(predictions: DataFrame, weights: DataFrame) -> DataFr
 
 def gold_check(predictions: DataFrame, gold: DataFrame) -> DataFrame:
     """How many gold sentences (by text) the predictions (text, prediction) get right."""
-    found = predictions.select("text", F.col("prediction").cast("int").alias("prediction")).distinct()
-    hit = F.coalesce(F.col("label") == F.col("prediction"), F.lit(False)).cast("int")
-    # the gold list is written by hand: small, and checked by Spark before it is broadcast
-    return gold.join(found, "text", "left").agg(
+    guess = F.col("prediction").cast("int")
+    # The gold list is the small side (Spark checks that before it broadcasts it): the predictions are
+    # cut down to its texts where they are, and one row per text is left to join back. A text predicted
+    # in several ways counts as right if one of them is.
+    asked = gold.select("text", F.col("label").cast("int").alias("label"))
+    about = predictions.select("text", guess.alias("prediction")).join(asked.select("text").distinct(), "text", "left_semi")
+    found = about.groupBy("text").agg(F.collect_set("prediction").alias("predictions"))
+    hit = F.coalesce(F.array_contains("predictions", F.col("label")), F.lit(False)).cast("int")
+    return asked.join(found, "text", "left").agg(
         F.count("*").alias("n"), F.sum(hit).alias("n_right"), F.avg(hit).alias("gold_accuracy")
     )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketframe.functions.kernels import flag, prices, safe_div, zero_to_null
-from marketframe.operators.panel import Panel, panel_operator
+from marketframe.operators.candles import direction
+from marketframe.operators.panel import Panel, panel_operator, with_states
 
 
 # Columns that are lagged by default, and by how many rows (fixed values).
@@ -19,6 +20,12 @@ LAG_TARGETS = [
 LAG_PERIODS = [1, 2, 3, 5, 10]
 
 
+def _turned(f, d):
+    """True where a direction begins."""
+    return f.lag(d).isNull() | (d != f.lag(d))
+
+
+@with_states(lambda f, names: {"__t_start": ("latest", _turned(f, direction()))})
 @panel_operator
 def add_sequence_features(p: Panel) -> Panel:
     """Counts of rising and falling bars, streaks, pattern clusters, extremes (18 columns)."""
@@ -27,9 +34,8 @@ def add_sequence_features(p: Panel) -> Panel:
     d = F.col("candle_direction")
     bulls, bears = p.column_or("bullish_pattern_count", 0), p.column_or("bearish_pattern_count", 0)
     signal = p.column_or("pattern_signal", 0)
-    p = p.add({"__t_prev": f.lag(d)})
-    changed = F.col("__t_prev").isNull() | (d != F.col("__t_prev"))
-    p = p.latest({"__t_start": changed})
+    p = p.add({"__t_turn": _turned(f, d)})
+    p = p.latest({"__t_start": F.col("__t_turn")})
     counts = {}
     for k in (3, 5, 10):
         rising, falling = f.total(flag(d == 1), k), f.total(flag(d == -1), k)

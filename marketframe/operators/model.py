@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from marketframe.functions.kernels import flag
 from marketframe.operators.panel import close_panel, open_panel
 from marketframe.operators.skew import first_per_group
+from marketframe.session import checkpoint_dir
 
 # Boosted-tree settings (fixed values).
 TREES = {
@@ -106,14 +107,20 @@ def direction_pipeline(features: list[str], **trees) -> Pipeline:
 def train(df: DataFrame, features: list[str], train_ratio: float = 0.8, **trees) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """Fit on the earlier part of the rows with a target: (model, train, test).
 
-    Fitting reads its rows once per stage, so they are kept (spilling to disk) and both
-    parts come from the kept rows; ``unpersist`` the returned parts when done.
+    Fitting reads its rows once per stage and tree, so the rows are kept once, in Spark's storage while
+    the fit runs, and both parts are filters of the table that was passed in. Nothing stays kept
+    afterwards. Boosting cuts its lineage every 10 trees where a checkpoint folder is named.
     """
     as_double = [F.col(c).cast("double").alias(c) if c in features else F.col(c) for c in df.columns]
-    rows = df.where(F.col("target").isNotNull()).select(*as_double).persist()
-    parts = chronological_split(rows, train_ratio).persist()
+    rows = df.where(F.col("target").isNotNull()).select(*as_double)
+    checkpoint_dir(df.sparkSession)
+    parts = chronological_split(rows, train_ratio)
     early, late = (parts.where(F.col("split") == s).drop("split") for s in ("train", "test"))
-    return direction_pipeline(features, **trees).fit(early), early, late
+    kept = early.persist()
+    try:
+        return direction_pipeline(features, **trees).fit(kept), early, late
+    finally:
+        kept.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame, features: list[str]) -> DataFrame:

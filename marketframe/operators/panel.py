@@ -3,16 +3,19 @@
 A window partitioned by symbol puts a whole symbol into one task. That is the
 cheapest plan while symbols are short (50 years of daily bars are 13,000 rows),
 and ``open_panel`` uses it after checking the longest symbol. Beyond that bound
-it cuts each symbol into consecutive time blocks, and gives each block a *halo*
-of the rows before it, so that a task holds a bounded number of rows and no
-symbol, however hot, lands in one task:
+it cuts each symbol into consecutive blocks, and gives each block a *halo* of the rows before it:
 
+* blocks are cut at units of time (months, days, hours, minutes or seconds), the longest of
+  which no unit of a symbol holds more rows than the halo, so a block has at most ``max_rows``
+  own rows and a unit more, and its halo is at most ``halo`` rows and a unit more. Only rows of
+  one symbol and one second, or of one symbol without any time, are never parted;
 * features with a bounded look-back (the longest chain here is 267 rows) are exact
   on the block's own rows because the halo covers the look-back;
 * exponential means forget: after ``HALO`` rows the slowest one used here (span 50)
   keeps less than 1e-26 of its starting value, far below double precision;
-* running sums and streaks remember everything, so their state at the end of each
-  block is aggregated to one row per block, accumulated over blocks, and joined back.
+* running sums, streaks and last known values remember everything. Operators declare these
+  *states*; all of them are aggregated together to one row per block of the raw bars, accumulated
+  over blocks, and joined to the blocks once, before any feature is computed.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from marketframe.functions.kernels import Frames
 MAX_ROWS = 50_000
 HALO = 1536
 
-_BLOCK, _OWN, _BEFORE = "__block", "__own", "__before"
+_KEY, _BLOCK, _OWN, _BEFORE = "__symbol_key", "__block", "__own", "__before"
+UNITS = ("month", "day", "hour", "minute", "second")
 
 
 class Panel:
@@ -42,18 +46,20 @@ class Panel:
         blocked: bool,
         names: list[str] | None = None,
         newest_first: bool = False,
+        carried: frozenset[str] = frozenset(),
     ):
+        self.carried = carried
         self.df, self.symbol, self.ts, self.blocked = df, symbol, ts, blocked
         self.newest_first = newest_first
         self.names = list(df.columns) if names is None else names
-        self.keys = [symbol, _BLOCK] if blocked else [symbol]
+        self.keys = [_KEY, _BLOCK] if blocked else [symbol]
         self.frames = Frames(self.keys, F.col(ts).desc() if newest_first else F.col(ts))
 
     def __contains__(self, name: str) -> bool:
         return name in self.names
 
     def _with(self, df: DataFrame, names: list[str] | None = None) -> Panel:
-        return Panel(df, self.symbol, self.ts, self.blocked, names, self.newest_first)
+        return Panel(df, self.symbol, self.ts, self.blocked, names, self.newest_first, self.carried)
 
     def add(self, columns: dict[str, Column]) -> Panel:
         """One projection that adds (or replaces) all the given columns."""
@@ -88,31 +94,38 @@ class Panel:
         """True on a block's first halo row, whose predecessor is out of sight."""
         return F.col("__t_pos") == F.first(_BEFORE).over(self.frames.so_far) + 1
 
-    def _earlier_blocks(self, state: DataFrame, fn: Callable, names: list[str]) -> Panel:
-        """Join each block with ``fn`` of the state of all blocks before it."""
-        before = (
-            Window.partitionBy(self.symbol)
-            .orderBy(_BLOCK)
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        carried = state.select(*self.keys, *[fn(n).over(before).alias(f"{n}_c") for n in names])
-        return self._with(self.df.join(carried, self.keys))
+    def carry(self, states: dict[str, tuple[str, Column]]) -> Panel:
+        """Join each block with its states at the end of all blocks before it.
+
+        A state is (kind, column): ``sum`` of the column, ``latest`` position where it is true, or
+        ``last`` value that isn't null. One aggregation and one join serve all of them.
+        """
+        states = {o: x for o, x in states.items() if o not in self.carried}
+        if not self.blocked or not states:
+            return self
+        p = self.add({"__t_pos": self.position()}).add({f"__t_s_{o}": x for o, (_, x) in states.items()})
+        value = {o: F.col(f"__t_s_{o}") for o in states}
+        last = lambda x: F.max_by(x, F.when(x.isNotNull(), F.col("__t_pos")))
+        at_end = {"sum": F.sum, "latest": lambda x: F.max(F.when(x, F.col("__t_pos"))), "last": last}
+        ends = p.df.where(_OWN).groupBy(*p.keys).agg(*[at_end[k](value[o]).alias(o) for o, (k, _) in states.items()])
+        before = Window.partitionBy(_KEY).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+        over = {"sum": F.sum, "latest": F.max, "last": lambda o: F.last(o, ignorenulls=True)}
+        carried = ends.select(*self.keys, *[over[k](o).over(before).alias(f"__c_{o}") for o, (k, _) in states.items()])
+        joined = self.df.join(carried, self.keys)  # every block has own rows, and no key is null
+        names = [*self.names, *[f"__c_{o}" for o in states]]
+        return Panel(joined, self.symbol, self.ts, True, names, self.newest_first, self.carried | set(states))
 
     def running_sum(self, sums: dict[str, Column]) -> Panel:
         """Sum of each column from the symbol's first row to the current one."""
-        parts = {f"__t_x_{o}": x for o, x in sums.items()}
-        p = self.add(parts)
+        p = self.carry({o: ("sum", x) for o, x in sums.items()})
+        p = p.add({f"__t_x_{o}": x for o, x in sums.items()})
         so_far = {o: F.sum(f"__t_x_{o}").over(p.frames.so_far) for o in sums}
         if not self.blocked:
             return p.add(so_far)
-        names = list(parts)
-        state = p.df.where(_OWN).groupBy(*p.keys).agg(*[F.sum(n).alias(n) for n in names])
-        q = p._earlier_blocks(state, F.sum, names)
-        halo = {o: F.sum(F.when(~F.col(_OWN), F.col(f"__t_x_{o}"))).over(q.frames.whole) for o in sums}
+        halo = {o: F.sum(F.when(~F.col(_OWN), F.col(f"__t_x_{o}"))).over(p.frames.whole) for o in sums}
         zero = F.lit(0.0)
-        return q.add({
-            o: F.coalesce(F.col(f"__t_x_{o}_c"), zero) + so_far[o] - F.coalesce(halo[o], zero)
-            for o in sums
+        return p.add({
+            o: F.coalesce(F.col(f"__c_{o}"), zero) + so_far[o] - F.coalesce(halo[o], zero) for o in sums
         })
 
     def latest(self, conditions: dict[str, Column]) -> Panel:
@@ -120,7 +133,8 @@ class Panel:
 
         Also leaves the row's own position in ``__t_pos``.
         """
-        p = self.add({"__t_pos": self.position()})
+        p = self.carry({o: ("latest", x) for o, x in conditions.items()})
+        p = p.add({"__t_pos": p.position()})
         if self.blocked:
             p = p.add({"__t_seam": p._seam() & ~F.col(_OWN)})
         hits = {}
@@ -130,22 +144,16 @@ class Panel:
         p = p.add(hits)
         here = {o: F.max(f"__t_h_{o}").over(p.frames.so_far) for o in conditions}
         if self.blocked:
-            names = list(hits)
-            state = p.df.where(_OWN).groupBy(*p.keys).agg(*[F.max(n).alias(n) for n in names])
-            p = p._earlier_blocks(state, F.max, names)
-            here = {o: F.coalesce(x, F.col(f"__t_h_{o}_c")) for o, x in here.items()}
+            here = {o: F.coalesce(x, F.col(f"__c_{o}")) for o, x in here.items()}
         return p.add({o: F.coalesce(x, F.lit(0).cast("bigint")) for o, x in here.items()})
 
     def last_known(self, values: dict[str, Column]) -> Panel:
         """Latest non-null value of each column from the symbol's first row to this one."""
-        p = self.add({f"__t_v_{o}": x for o, x in values.items()})
+        p = self.carry({o: ("last", x) for o, x in values.items()})
+        p = p.add({f"__t_v_{o}": x for o, x in values.items()})
         here = {o: F.last(f"__t_v_{o}", ignorenulls=True).over(p.frames.so_far) for o in values}
         if self.blocked:
-            names = [f"__t_v_{o}" for o in values]
-            last = [F.max_by(n, F.when(F.col(n).isNotNull(), F.col(self.ts))).alias(n) for n in names]
-            state = p.df.where(_OWN).groupBy(*p.keys).agg(*last)
-            p = p._earlier_blocks(state, lambda n: F.last(n, ignorenulls=True), names)
-            here = {o: F.coalesce(x, F.col(f"__t_v_{o}_c")) for o, x in here.items()}
+            here = {o: F.coalesce(x, F.col(f"__c_{o}")) for o, x in here.items()}
         return p.add(here)
 
     def run_lengths(self, flags: dict[str, str]) -> Panel:
@@ -201,6 +209,15 @@ def longest_symbol(bars: DataFrame, symbol: str = "symbol") -> int:
     return bars.groupBy(symbol).count().agg(F.max("count")).first()[0] or 0
 
 
+def _finest_needed(keyed: DataFrame, ts: str, halo: int) -> str:
+    """The longest unit of time of which no symbol has more than ``halo`` rows; seconds if none."""
+    for unit in UNITS[:-1]:
+        counts = keyed.where(F.col(ts).isNotNull()).groupBy(_KEY, F.date_trunc(unit, ts)).count()
+        if (counts.agg(F.max("count")).first()[0] or 0) <= halo:
+            return unit
+    return UNITS[-1]
+
+
 def open_panel(
     bars: DataFrame,
     symbol: str = "symbol",
@@ -210,10 +227,13 @@ def open_panel(
     newest_first: bool = False,
     longest: int | None = None,
     tasks: int | None = None,
+    states: Callable[[Frames], dict[str, tuple[str, Column]]] | None = None,
 ) -> Panel:
     """Choose the partitioning of ``bars`` from the row count of its longest symbol.
 
-    ``newest_first`` turns time around, for the few operators that look ahead.
+    ``newest_first`` turns time around, for the few operators that look ahead. ``states`` declares what
+    operators carry from block to block (see ``Panel.carry``), in terms of the bars' own columns.
+    Rows without a time or a symbol stay, in blocks as in whole symbols.
 
     The check is one narrow count, skipped if the caller passes ``longest``, an upper bound of
     the rows per symbol. In a chain of operators count once at the start: they never add rows.
@@ -223,8 +243,9 @@ def open_panel(
     gets ``tasks`` partitions, by default ``spark.sql.shuffle.partitions``. With 0 it is left
     to Spark, which suits bars that are bucketed by symbol.
 
-    When blocks are needed, counting months is a second pass over ``bars``, so bars that took
-    long to build should be a table or a checkpoint by then.
+    When blocks are needed, counting units of time is a second pass over ``bars`` (one more for each
+    unit that turns out too long), so bars that took long to build should be a table or a
+    checkpoint by then.
     """
     max_rows = MAX_ROWS if max_rows is None else max_rows
     halo = HALO if halo is None else halo
@@ -236,29 +257,31 @@ def open_panel(
     if longest <= max_rows:
         return Panel(spread(bars, symbol), symbol, ts, False, newest_first=newest_first)
 
-    # One row per symbol and month: at most 1,200 per symbol and century.
-    month = F.date_trunc("month", ts).alias("__month")
-    order = F.col("__month").desc() if newest_first else F.col("__month")
-    before = Window.partitionBy(symbol).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    months = (
-        bars.groupBy(symbol, month)
-        .agg(F.count("*").alias("__n"))
+    # One key that is never null, so that rows without a symbol join like others.
+    keyed = bars.withColumn(_KEY, F.coalesce(F.col(symbol).cast("string"), F.lit("\0")))
+    unit = F.date_trunc(_finest_needed(keyed, ts, min(halo, max_rows)), ts)
+    name = F.coalesce(unit.cast("string"), F.lit("")).alias("__unit")
+    # Rows without a time come first, or last if time is turned around, as they do in whole symbols.
+    order = F.col("__at").desc() if newest_first else F.col("__at")
+    before = Window.partitionBy(_KEY).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    units = (
+        keyed.groupBy(_KEY, name)
+        .agg(F.count("*").alias("__n"), F.min(unit).alias("__at"))
         .withColumn(_BEFORE, F.coalesce(F.sum("__n").over(before), F.lit(0).cast("bigint")))
     )
-    # A month belongs to the block its first row falls in, and is halo to every later
-    # block that starts within ``halo`` rows of the month's last row.
-    own_block = F.floor(F.col(_BEFORE) / max_rows)
-    last_block = F.floor(F.max(_BEFORE).over(Window.partitionBy(symbol)) / max_rows)
-    reach = F.floor((F.col(_BEFORE) + F.col("__n") + halo - 1) / max_rows)
-    until = F.greatest(own_block, F.least(reach, last_block))
-    months = months.select(symbol, "__month", _BEFORE, F.sequence(own_block, until).alias("__blocks"))
-    df = (
-        bars.withColumn("__month", F.date_trunc("month", ts))
-        .join(months, [symbol, "__month"])
-        .select(*bars.columns, _BEFORE, F.posexplode("__blocks").alias("__nth", _BLOCK))
-        .select(*bars.columns, _BEFORE, _BLOCK, (F.col("__nth") == 0).alias(_OWN))
-    )
-    return Panel(spread(df, symbol, _BLOCK), symbol, ts, True, newest_first=newest_first)
+    # A unit belongs to the block its first row falls in, and is halo to later blocks whose first row
+    # is within ``halo`` rows of its last one. A block that owns rows starts with a unit, so none of the
+    # blocks that begin inside this unit is among them, however long it is.
+    own = F.floor(F.col(_BEFORE) / max_rows)
+    end = F.col(_BEFORE) + F.col("__n")
+    until = F.least(F.floor((end + halo - 1) / max_rows), F.max(own).over(Window.partitionBy(_KEY)))
+    later = F.greatest(own + 1, F.floor(end / max_rows))
+    blocks = F.concat(F.array(own), F.when(later <= until, F.sequence(later, until)).otherwise(F.array().cast("array<bigint>")))
+    units = units.withColumn("__blocks", blocks).select(_KEY, "__unit", _BEFORE, F.posexplode("__blocks").alias("__nth", _BLOCK))
+    df = keyed.withColumn("__unit", name)
+    df = df.join(units, [_KEY, "__unit"]).select(*bars.columns, _KEY, _BEFORE, _BLOCK, (F.col("__nth") == 0).alias(_OWN))
+    p = Panel(spread(df, _KEY, _BLOCK), symbol, ts, True, newest_first=newest_first)
+    return p.carry(states(p.frames)) if states else p
 
 
 def close_panel(p: Panel, columns: list[Column] | None = None) -> DataFrame:
@@ -276,10 +299,22 @@ def panel_operator(fn: Callable) -> Callable:
     """Let a Panel -> Panel feature function be called on a plain DataFrame of bars."""
 
     @wraps(fn)
-    def run(bars, *args, symbol: str = "symbol", ts: str = "ts", longest: int | None = None, **kwargs):
+    def run(bars, *args, symbol: str = "symbol", ts: str = "ts", longest: int | None = None,
+            max_rows: int | None = None, halo: int | None = None, **kwargs):
         if isinstance(bars, Panel):
             return fn(bars, *args, **kwargs).drop_temporaries()
-        p = open_panel(bars, symbol, ts, longest=longest)
+        states = getattr(run, "states", None)
+        p = open_panel(bars, symbol, ts, max_rows, halo, longest=longest, states=states and (lambda f: states(f, bars.columns)))
         return close_panel(fn(p, *args, **kwargs))
 
     return run
+
+
+def with_states(states: Callable[[Frames, list[str]], dict[str, tuple[str, Column]]]) -> Callable:
+    """Declare what a panel operator carries (from frames and the bars' column names), for ``open_panel``."""
+
+    def mark(operator: Callable) -> Callable:
+        operator.states = states
+        return operator
+
+    return mark

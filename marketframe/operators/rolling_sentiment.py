@@ -7,13 +7,23 @@ import warnings
 from pyspark.sql import functions as F
 
 from marketframe.functions.kernels import flag, round4
-from marketframe.operators.panel import Panel, panel_operator
+from marketframe.operators.panel import Panel, panel_operator, with_states
 
 NEUTRAL_BAND = 0.10
 RSI_ROWS = 14
 SPIKE = 2.0
 
 
+def _mood():
+    return F.coalesce(F.signum(F.col("sentiment_mean")), F.lit(0.0))
+
+
+def _mood_turned(f, d):
+    """True where a mood begins."""
+    return F.coalesce(d != f.lag(d), F.lit(True))
+
+
+@with_states(lambda f, names: {"__t_mood": ("latest", _mood_turned(f, _mood()))} if "sentiment_mean" in names else {})
 @panel_operator
 def add_rolling_sentiment_features(p: Panel) -> Panel:
     """19 columns from daily sentiment; unchanged, with a warning, if there is none.
@@ -33,7 +43,7 @@ def add_rolling_sentiment_features(p: Panel) -> Panel:
         **{f"sentiment_vol_{k}d": F.coalesce(f.std(s, k, 2), F.lit(0.0)) for k in (3, 7)},
         "__t_gain": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))),
         "__t_loss": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))),
-        "__t_dir": F.coalesce(F.signum(s), F.lit(0.0)),
+        "__t_dir": _mood(),
     })
     ma3, ma7, ma14 = (F.col(f"sentiment_ma{k}") for k in (3, 7, 14))
     d = F.col("__t_dir")
@@ -42,17 +52,17 @@ def add_rolling_sentiment_features(p: Panel) -> Panel:
         "sentiment_trend_7_14": round4(ma7 - ma14),
         "sentiment_regime": F.when(ma7 > NEUTRAL_BAND, 1.0).when(ma7 < -NEUTRAL_BAND, -1.0).otherwise(0.0),
         "sentiment_improving": flag(ma3 > ma7),
-        "__t_turn": F.coalesce(d != f.lag(d), F.lit(True)),
+        "__t_turn": _mood_turned(f, d),
         "__t_up": f.mean(F.col("__t_gain"), RSI_ROWS, RSI_ROWS // 2),
         "__t_dn": f.mean(F.col("__t_loss"), RSI_ROWS, RSI_ROWS // 2),
     })
-    p = p.latest({"__t_start": F.col("__t_turn")})
+    p = p.latest({"__t_mood": F.col("__t_turn")})
     up, dn = F.col("__t_up"), F.col("__t_dn")
     out = {
         "sentiment_rsi": F.coalesce(
             F.lit(100.0) - F.try_divide(F.lit(100.0), F.try_divide(up, dn) + 1.0), F.lit(50.0)
         ),
-        "sentiment_streak": d * (F.col("__t_pos") - F.col("__t_start") + 1),
+        "sentiment_streak": d * (F.col("__t_pos") - F.col("__t_mood") + 1),
     }
 
     if "sentiment_momentum" in p:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marketframe.functions.kernels import above_quantile, below_quantile, flag, prices, rank_in, safe_div, sum_of, zero_to_null
-from marketframe.operators.panel import Panel, panel_operator
+from marketframe.operators.panel import Panel, panel_operator, with_states
 
 
 
@@ -20,6 +20,12 @@ def crosses_below(p: Panel, a: Column, b: Column) -> Column:
     return flag((a < b) & (p.frames.lag(a) >= p.frames.lag(b)))
 
 
+def _swings(f) -> dict[str, Column]:
+    _, H, L, _ = prices()
+    return {"__t_hh": flag(H > f.lag(H)), "__t_ll": flag(L < f.lag(L))}
+
+
+@with_states(lambda f, names: {f"__t_l_{k}_streak": ("latest", x == 0) for k, x in zip(("hh", "ll"), _swings(f).values())})
 @panel_operator
 def add_trend_features(p: Panel) -> Panel:
     """Moving averages, slopes, directional strength and swing streaks (34 columns).
@@ -36,8 +42,7 @@ def add_trend_features(p: Panel) -> Panel:
         # A bar without a predecessor moved by 0, it is not missing.
         "__t_up": F.when(up > down, F.greatest(up, F.lit(0.0))).otherwise(0.0),
         "__t_down": F.when(down > up, down).otherwise(0.0),
-        "__t_hh": flag(H > f.lag(H)),
-        "__t_ll": flag(L < f.lag(L)),
+        **_swings(f),
     })
     p = p.ema({f"ema_{k}": ("close", k) for k in (9, 21, 50)})
     p = p.run_lengths({"hh_streak": "__t_hh", "ll_streak": "__t_ll"})
@@ -212,6 +217,16 @@ def add_volatility_features(p: Panel) -> Panel:
     })
 
 
+def _traded() -> Column:
+    return F.coalesce(F.col("volume"), F.lit(0.0))
+
+
+def _signed_volume(f) -> Column:
+    """On-balance volume's steps: the first row has no direction of its own and counts as a rise."""
+    return F.coalesce(F.signum(f.diff(F.col("close"))), F.lit(1.0)) * _traded()
+
+
+@with_states(lambda f, names: {"__t_obv": ("sum", _signed_volume(f))} if "volume" in names else {})
 @panel_operator
 def add_volume_features(p: Panel) -> Panel:
     """Volume ratios, on-balance volume, money flow and VWAP (18 columns).
@@ -223,14 +238,13 @@ def add_volume_features(p: Panel) -> Panel:
     if "volume" not in p:
         return p
     f = p.frames
-    traded = F.coalesce(F.col("volume"), F.lit(0.0))
+    traded = _traded()
     move = F.try_divide(C, f.lag(C)) - 1
     p = p.add({
         "__t_vol": zero_to_null(F.col("volume")),
         "__t_v0": traded,
         "__t_move": move,
-        # the first row has no direction of its own and counts as a rise
-        "__t_signed": F.coalesce(F.signum(f.diff(C)), F.lit(1.0)) * traded,
+        "__t_signed": _signed_volume(f),
         "money_flow": (H + L + C) / 3 * traded,
     })
     vol, v0, ret = F.col("__t_vol"), F.col("__t_v0"), F.col("__t_move")

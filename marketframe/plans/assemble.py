@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,16 +98,36 @@ def feature_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def feature_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of each pair of columns (a, b, corr), 3 places, from one aggregation."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    rows = [
-        F.struct(
-            F.lit(a).alias("a"), F.lit(b).alias("b"),
-            (F.rint(F.corr(F.col(a).cast("double"), F.col(b).cast("double")) * 1000) / 1000).alias("corr"),
-        )
-        for a, b in pairs
-    ]
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    """Pearson correlation of each pair of columns (a, b, corr), 3 places, over rows that have both.
+
+    A first pass takes each column's mean, which is subtracted to keep the sums small. Every task then
+    adds up counts, sums, squares and products of all pairs as n x n matrices and sends one row
+    per column; the rows of a column meet in one group. Sizes depend on the columns, not on the rows.
+    """
+    n, names = len(columns), np.array(columns)
+    numbers = [F.col(c).cast("double") for c in columns]
+    means = df.agg(*[F.avg(F.when(F.abs(x) < float("inf"), x)) for x in numbers]).first()
+    centred = F.array(*[x - F.lit(m or 0.0) for x, m in zip(numbers, means)])
+
+    def sums(batches):
+        total = np.zeros((6, n, n))
+        for b in batches:
+            v = np.array(b.column(0).to_pylist(), dtype=float).reshape(-1, n)
+            there = np.isfinite(v)
+            v, t = np.where(there, v, 0.0), there.astype(float)
+            total += np.stack([t.T @ t, v.T @ t, t.T @ v, (v * v).T @ t, t.T @ (v * v), v.T @ v])
+        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([total[:, i].tobytes() for i in range(n)])], ["i", "sums"])
+
+    def row(g: pd.DataFrame) -> pd.DataFrame:
+        i = int(g["i"].iloc[0])
+        m, sx, sy, xx, yy, xy = np.sum([np.frombuffer(x) for x in g["sums"]], axis=0).reshape(6, n)[:, i:]
+        with np.errstate(all="ignore"):
+            r = (xy - sx * sy / m) / np.sqrt((xx - sx * sx / m) * (yy - sy * sy / m))
+        r = pd.Series(np.rint(r * 1000) / 1000).replace([np.inf, -np.inf], np.nan)
+        return pd.DataFrame({"a": names[i], "b": names[i:], "corr": r.astype("Float64").where(r.notna(), pd.NA)})
+
+    per_task = df.select(centred.alias("x")).mapInArrow(sums, "i int, sums binary")
+    return per_task.groupBy("i").applyInPandas(row, "a string, b string, corr double")
 
 
 def feature_consistency(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -57,7 +57,11 @@ def build_features(
     ``modules`` limits the list to some of ``MODULES``, in the fixed order. Rolling
     sentiment is added when the bars carry daily sentiment.
     """
-    p = open_panel(bars, symbol, ts, max_rows, halo, longest=longest)
+    chosen = [m for name, m in MODULES.items() if modules is None or name in modules]
+    chosen += [add_rolling_sentiment_features] * ("sentiment_mean" in bars.columns)
+    carriers = [m.states for m in chosen if hasattr(m, "states")]
+    states = lambda f: {o: x for m in carriers for o, x in m(f, bars.columns).items()}
+    p = open_panel(bars, symbol, ts, max_rows, halo, longest=longest, states=states)
     own = list(bars.columns)
     order, packs = list(own), {}
     for name, module in MODULES.items():

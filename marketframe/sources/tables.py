@@ -27,25 +27,31 @@ def read_bars(
 
     Text formats are read with the bar schema, not inferred. ``symbols`` is a pushed-down
     filter. ``period``, such as ``3 months``, keeps what is newer than that before the last bar
-    read; the last bar's time comes from one column.
+    read; the last bar's time comes from one column. Bars that ``write_bars`` has laid out by month
+    are then read from the folders of these months only; the month is not a column of the result.
     """
     reader = spark.read.format(fmt)
     if fmt in ("csv", "json"):
         reader = reader.schema(BARS)
     if fmt == "csv":
         reader = reader.option("header", True)
-    bars = normalize_columns(reader.load(path))
+    loaded = reader.load(path)
+    bars = normalize_columns(loaded)
     if symbols is not None:
         bars = bars.where(F.col("symbol").isin(list(symbols)))
     if period is not None:
-        bars = within_period(bars, period)
-    return bars
+        bars = within_period(bars, period, month="month" if "month" in bars.columns else None)
+    return bars.drop("month")
 
 
-def within_period(bars: DataFrame, period: str, ts: str = "ts") -> DataFrame:
-    """Bars of the last ``period`` before the newest bar."""
-    last = bars.agg(F.max(ts).alias("last")).scalar()
-    return bars.where(F.col(ts) >= last - F.expr(f"interval {period}"))
+def within_period(bars: DataFrame, period: str, ts: str = "ts", month: str | None = None) -> DataFrame:
+    """Bars of the last ``period`` before the newest bar; ``month`` names a yyyy-MM partition column."""
+    last, first = bars.agg(F.max(ts), F.max(ts) - F.expr(f"interval {period}")).first()
+    if last is None:
+        return bars.limit(0)
+    if month is not None:
+        bars = bars.where(F.col(month) >= f"{first:%Y-%m}")
+    return bars.where(F.col(ts) >= F.lit(first).cast(bars.schema[ts].dataType))
 
 
 def read_articles(
@@ -94,8 +100,13 @@ def write_bars(bars: DataFrame, path: str) -> None:
 
 
 def write_features(features: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The feature table as parquet, one folder per symbol."""
-    features.write.mode(mode).partitionBy("symbol").parquet(path)
+    """The feature table as parquet, in files ranged over (symbol, ts).
+
+    A hot symbol gets many files and a million small ones share some; a filter on symbol or time
+    skips files and row groups by their statistics.
+    """
+    sliced = features.repartitionByRange("symbol", "ts").sortWithinPartitions("symbol", "ts")
+    sliced.write.mode(mode).parquet(path)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -29,7 +29,7 @@ SCORED = "symbol string, seq bigint, title string, date string, score double, po
 ])
 def test_clean_text(spark, title, description, want):
     df = spark.createDataFrame([(title, description)], "a string, b string")
-    assert df.select(clean_text(F.col("a"), F.col("b"))).first()[0] == want
+    assert df.select(clean_text(F.col("a"), F.col("b"), 200)).first()[0] == want
 
 
 def test_labels_and_scores(spark):

@@ -5,6 +5,8 @@ import pytest
 from conftest import SF
 
 import __spark_entry__ as entry
+from catalog.oracle import ORACLE
+from catalog.queries import QUERIES
 from scripts.check_queries import rows_of
 
 CHECKED = [
@@ -26,7 +28,8 @@ def con():
 def test_registry():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) >= 90
-    assert set(queries) - set(sql) == {
+    assert set(QUERIES) <= set(queries) and set(ORACLE) <= set(sql)
+    assert set(QUERIES) - set(ORACLE) == {
         "headline_classifier", "train_eval", "feature_importance", "predict_latest", "assemble", "assemble_metadata"}
 
 

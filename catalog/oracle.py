@@ -7,6 +7,7 @@ trading day.
 
 from __future__ import annotations
 
+from marketframe.operators.memory import LAG_PERIODS, LAG_TARGETS
 from marketframe.plans import registry
 
 ORACLE: dict[str, str] = {}
@@ -530,12 +531,8 @@ def strength(c: Chain) -> Chain:
 ORACLE["pattern_strength"] = strength(with_patterns()).out(registry.FEATURE_GROUPS["strength"])
 
 
-def _interactions() -> str:
-    c = trend(Chain(HOURLY))
-    c.add(f"SELECT * EXCLUDE (up, dn) FROM {c.last}")
-    c = momentum(c)
-    c = volume(volatility(macd(c)))
-    c = patterns(geometry(c))
+def interactions(c: Chain) -> tuple[Chain, list[str], list[str]]:
+    """The chain with the crossed features, and their names: doubles, whole numbers."""
     bb, bt = clip("coalesce(bb_percent, 0.5)", "0", "1"), "trend_agreement"
     vol = clip("coalesce(volume_ratio, 1)", "0", "5")
     cols = {f"pat_{n}_vol": f"pat_{n} * {vol}" for n in (
@@ -561,14 +558,22 @@ def _interactions() -> str:
         "bull_pat_macd_cross": "bullish_pattern_count * macd_bullish_cross",
         "bear_pat_macd_cross": "bearish_pattern_count * macd_bearish_cross",
     }
-    return c.step(**cols, **ints).out(list(cols), list(ints))
+    return c.step(**cols, **ints), list(cols), list(ints)
+
+
+def _interactions() -> str:
+    c = trend(Chain(HOURLY))
+    c.add(f"SELECT * EXCLUDE (up, dn) FROM {c.last}")
+    c = momentum(c)
+    c = volume(volatility(macd(c)))
+    c, doubles, ints = interactions(patterns(geometry(c)))
+    return c.out(doubles, ints)
 
 
 ORACLE["interactions"] = _interactions()
 
 
-def _sequence() -> str:
-    c = with_patterns()
+def sequence(c: Chain) -> Chain:
     c.step(turn=f"CASE WHEN candle_direction = {lag('candle_direction')} THEN 0 ELSE 1 END",
            bull_=flag("candle_direction = 1"), bear_=flag("candle_direction = -1"))
     c.step(grp=f"sum(turn) OVER ({W} ROWS UNBOUNDED PRECEDING)")
@@ -580,15 +585,18 @@ def _sequence() -> str:
         pat_signal_3d_mean=roll("avg", "pattern_signal", 3),
         **{f"h{k}_": roll("max", "high", k) for k in (10, 20)}, **{f"l{k}_": roll("min", "low", k) for k in (10, 20)},
     )
-    c.step(
+    return c.step(
         **{f"dir_balance_{k}": f"bull_candles_{k} - bear_candles_{k}" for k in (3, 5, 10)},
         pat_signal_5d="bull_pat_5d_cluster - bear_pat_5d_cluster",
         **{f"pct_from_high_{k}": sd(f"h{k}_ - close", f"h{k}_") + " * 100" for k in (10, 20)},
         **{f"pct_from_low_{k}": sd(f"close - l{k}_", f"l{k}_") + " * 100" for k in (10, 20)},
     )
+
+
+def _sequence() -> str:
     doubles = [f"{s}_candles_{k}" for s in ("bull", "bear") for k in (3, 5, 10)]
     doubles += [n for n in registry.FEATURE_GROUPS["sequence"] if n != "dir_streak"]
-    return c.out(doubles, ["dir_streak"])
+    return sequence(with_patterns()).out(doubles, ["dir_streak"])
 
 
 ORACLE["sequence"] = ORACLE["sequence_blocked"] = _sequence()
@@ -609,17 +617,6 @@ def sr(c: Chain) -> Chain:
 ORACLE["sr_proximity"] = sr(Chain(DAILY)).out(registry.FEATURE_GROUPS["sr_proximity"])
 
 
-def _lags() -> str:
-    c = geometry(momentum(Chain(DAILY)), atr=False)
-    names = {f"{x}_lag{k}": lag(x, k) for x in ("close", "rsi_14", "body_ratio", "candle_direction")
-             for k in (1, 2, 3, 5, 10)}
-    c.step(**names)
-    return c.out([n for n in names if "direction" not in n], [n for n in names if "direction" in n])
-
-
-ORACLE["lags"] = _lags()
-
-
 def returns(c: Chain, normalised: bool = False) -> Chain:
     c.step(**{f"ret_{k}d": f"ln(close / {lag('close', k)}) * 100" for k in (1, 2, 3, 5, 10, 20)})
     c.step(up_r="CASE WHEN ret_1d > 0 THEN ret_1d WHEN ret_1d IS NOT NULL THEN 0.0::DOUBLE END",
@@ -638,6 +635,48 @@ def returns(c: Chain, normalised: bool = False) -> Chain:
     )
 
 
+# ---- all modules ----
+
+# Features that are whole numbers (fixed values); all others are doubles.
+WHOLE = {
+    "hh_streak", "ll_streak", "golden_cross", "death_cross", "ema9_ema21_cross", "sma20_rising", "sma50_rising", "ema21_rising",
+    "rsi_overbought", "rsi_oversold", "rsi_neutral", "macd_bullish_cross", "macd_bearish_cross", "macd_zero_cross_up",
+    "macd_zero_cross_down", "macd_above_signal", "macd_above_zero", "histogram_growing", "bullish_divergence", "bearish_divergence",
+    "bb_near_upper", "bb_near_lower", "bb_above_upper", "bb_below_lower", "bb_squeeze", "bb_expanding", "high_volatility",
+    "low_volatility", "obv_above_ma", "volume_spike", "volume_extreme_spike", "volume_low", "volume_trend", "price_vol_confirm",
+    "candle_direction", *registry.FEATURE_GROUPS["patterns"], "hammer_oversold", "bull_engulf_oversold", "morning_star_oversold",
+    "shooting_star_overbought", "bear_engulf_overbought", "evening_star_overbought", "doji_in_squeeze", "spinning_top_in_squeeze",
+    "confirmed_bull_divergence", "confirmed_bear_divergence", "bull_pat_macd_cross", "bear_pat_macd_cross", "dir_streak",
+    "sentiment_improving", "article_count_spike", "attention_trend", "sent_rsi_diverge", "sent_momentum_align",
+}
+_LAGGED = {f"{x}_lag{k}": (x, k) for x in LAG_TARGETS for k in LAG_PERIODS}
+
+
+def everything(c: Chain) -> tuple[Chain, list[str]]:
+    """All 13 price modules on top of each other, and the names of their features."""
+    trend(c).add(f"SELECT * EXCLUDE (up, dn) FROM {c.last}")
+    volume(volatility(macd(momentum(c))))
+    c, crossed, flags = interactions(strength(patterns(geometry(c))))
+    sequence(c)
+    _ranked("high - low", 20, 10, "range_percentile", c).add(f"SELECT * EXCLUDE (recent, rank_x, turn, grp) FROM {c.last}")
+    _ranked("volume", 20, 10, "vol_percentile", c)
+    returns(sr(c), True).step(**{n: lag(x, k) for n, (x, k) in _LAGGED.items()})
+    names = [n for g, group in registry.FEATURE_GROUPS.items() if g != "lags" for n in group]
+    names += [n for n in [*registry.RAW_COLUMNS, *crossed, *flags, "candle_range", *_LAGGED] if n != "close"]
+    names += [f"{s}_candles_{k}" for s in ("bull", "bear") for k in (3, 5, 10)]
+    return c, list(dict.fromkeys(names))
+
+
+def whole(name: str) -> bool:
+    return _LAGGED.get(name, (name, 0))[0] in WHOLE
+
+
+def select(c: Chain, names: list[str], doubles: list[str] = (), plain: list[str] = ()) -> str:
+    return c.out([*doubles, *[n for n in names if not whole(n)]], [*plain, *[n for n in names if whole(n)]])
+
+
+ORACLE["features_all"] = select(*everything(Chain(DAILY)), doubles=OHLCV)
+ORACLE["lags"] = select(everything(Chain(DAILY))[0], list(_LAGGED))
 _RET = [f"ret_{k}d" for k in (1, 2, 3, 5, 10, 20)]
 ORACLE["returns"] = returns(volatility(Chain(DAILY)), True).out([*_RET, "ret_1d_norm", "ret_5d_norm"])
 ORACLE["return_stats"] = returns(Chain(DAILY)).out([
@@ -968,3 +1007,36 @@ ORACLE["binary_report"] = _naive().sql(f"""SELECT class, {r6('p', 'precision')},
     FROM (SELECT v.class, count(*) FILTER (target = k AND prediction = k) AS hit,
     count(*) FILTER (prediction = k) AS guessed, count(*) FILTER (target = k) AS support,
     avg({flag('target = prediction')}) AS accuracy FROM {{last}}, (VALUES ('DOWN', 0), ('UP', 1)) v(class, k) GROUP BY v.class))""")
+
+
+# ---- from bars and articles to labelled rows ----
+
+
+def _with_news(c: Chain) -> tuple[Chain, list[str]]:
+    """All price modules and rolling sentiment over bars that carry daily sentiment."""
+    c, names = everything(c)
+    rolling_sentiment(c, cross=True)
+    return c, [*names, *DAY_COLUMNS, *registry.ROLLING_SENTIMENT]
+
+
+_MOVE = f"lead(close) OVER ({W}) / close - 1"
+
+
+def _assembled(c: Chain, names: list[str]) -> tuple[Chain, list[str]]:
+    """Rows without a missing value, labelled by the next of them, without raw levels."""
+    c.add(f"SELECT * FROM {c.last} WHERE {' AND '.join(f'{n} IS NOT NULL' for n in names)}")
+    c.step(mv=_MOVE)
+    c.add(f"SELECT *, CASE WHEN mv > 0.003 THEN 1 WHEN mv < -0.003 THEN 0 END AS target FROM {c.last}")
+    c.add(f"SELECT * FROM {c.last} WHERE target IS NOT NULL")
+    return c, [n for n in names if n not in registry.RAW_COLUMNS]
+
+
+# Without return and momentum modules the cross signals are 0.
+_NO_MODULES = {"ret_1d": "0.0::DOUBLE", "ret_5d": "NULL::DOUBLE", "rsi_14": "50.0::DOUBLE"}
+_RANGES = rolling_sentiment(sr(Chain(MERGED, start="merged")).step(**_NO_MODULES), cross=True)
+_RANGES.add(f"SELECT * EXCLUDE (sent_price_confirm, sent_momentum_align), 0.0::DOUBLE AS sent_price_confirm, 0 AS sent_momentum_align FROM {_RANGES.last}")
+ORACLE["assemble"] = select(
+    *_assembled(_RANGES, [*registry.FEATURE_GROUPS["sr_proximity"], *DAY_COLUMNS, *registry.ROLLING_SENTIMENT]), plain=["target"])
+_WITHOUT_NEWS = Chain(DAILY).step(**{c: "0.5::DOUBLE" if c == "positive_ratio" else "0.0::DOUBLE" for c in DAY_COLUMNS})
+ORACLE["assemble_metadata"] = _assembled(*_with_news(_WITHOUT_NEWS))[0].sql(
+    f"SELECT symbol, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts, {r6('avg(target)', 'up_share')} FROM {{last}} GROUP BY symbol")

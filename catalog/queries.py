@@ -220,9 +220,7 @@ features_query("sequence_blocked", t.bars_hourly, [*PATTERN_INPUTS, "sequence"],
     *registry.FEATURE_GROUPS["sequence"],
 ], 100, 100)
 features_query("sr_proximity", t.bars_daily, ["sr_proximity"], registry.FEATURE_GROUPS["sr_proximity"])
-features_query("lags", t.bars_daily, ["momentum", "geometry", "lags"], [
-    f"{c}_lag{k}" for c in ("close", "rsi_14", "body_ratio", "candle_direction") for k in memory.LAG_PERIODS
-])
+features_query("lags", t.bars_daily, None, [f"{c}_lag{k}" for c in memory.LAG_TARGETS for k in memory.LAG_PERIODS])
 features_query("returns", t.bars_daily, ["volatility", "returns"], [
     *[f"ret_{k}d" for k in (1, 2, 3, 5, 10, 20)], "ret_1d_norm", "ret_5d_norm",
 ])
@@ -232,6 +230,12 @@ features_query("return_stats", t.bars_daily, ["returns"], [
 ])
 
 
+@query
+def features_all(spark, sf):
+    """Every column of every price module over the bars of all brands."""
+    return build_features(t.bars_daily(spark, sf), longest=t.longest(spark, sf, t.bars_daily))
+
+
 @query
 def model_features(spark, sf):
     f = build_features(t.bars_hourly(spark, sf), modules=["volume", "geometry", "returns"])
@@ -563,6 +567,4 @@ def assemble(spark, sf):
 
 @query
 def assemble_metadata(spark, sf):
-    return assembly.metadata(assembly.assemble(t.bars_daily(spark, sf), modules=["trend", "momentum", "returns"]))
-
-
+    return assembly.metadata(assembly.assemble(t.bars_daily(spark, sf)))

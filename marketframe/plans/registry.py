@@ -27,7 +27,7 @@ NOT_FEATURES = ["ticker", "symbol", "target"]
 # Feature groups (fixed values).
 FEATURE_GROUPS: dict[str, list[str]] = {
     "trend": [
-        *[f"price_vs_{m}" for m in ("sma20", "sma50", "sma200", "ema9", "ema21", "ema50")],
+        "price_vs_sma20", "price_vs_sma50", "price_vs_sma200", "price_vs_ema9", "price_vs_ema21", "price_vs_ema50",
         "sma20_sma50_ratio", "sma50_sma200_ratio", "ema9_ema21_ratio",
         "golden_cross", "death_cross", "ema9_ema21_cross",
         "sma20_rising", "sma50_rising", "ema21_rising",
@@ -88,7 +88,11 @@ FEATURE_GROUPS: dict[str, list[str]] = {
         "bull_pat_5d_cluster", "bear_pat_5d_cluster", "pat_signal_5d", "pat_signal_3d_mean",
         "pct_from_high_10", "pct_from_high_20", "pct_from_low_10", "pct_from_low_20",
     ],
-    "sr_proximity": [f"{n}_{k}" for k in (20, 50, 100) for n in ("dist_to_high", "dist_to_low", "range_pos")],
+    "sr_proximity": [
+        "dist_to_high_20", "dist_to_low_20", "range_pos_20",
+        "dist_to_high_50", "dist_to_low_50", "range_pos_50",
+        "dist_to_high_100", "dist_to_low_100", "range_pos_100",
+    ],
     "lags": [
         f"{c}_lag{n}"
         for c in ("rsi_14", "pattern_signal", "trend_agreement", "bb_percent", "volume_ratio",
@@ -96,8 +100,8 @@ FEATURE_GROUPS: dict[str, list[str]] = {
         for n in LAG_PERIODS
     ],
     "returns": [
-        *[f"ret_{k}d" for k in (1, 2, 3, 5, 10, 20)], "ret_1d_norm", "ret_5d_norm",
-        *[f"ret_mean_{k}d" for k in (5, 10, 20)], *[f"ret_std_{k}d" for k in (5, 10, 20)],
+        "ret_1d", "ret_2d", "ret_3d", "ret_5d", "ret_10d", "ret_20d", "ret_1d_norm", "ret_5d_norm",
+        "ret_mean_5d", "ret_mean_10d", "ret_mean_20d", "ret_std_5d", "ret_std_10d", "ret_std_20d",
         "ret_skew_5d", "ret_positive_5d", "ret_positive_10d", "up_down_ratio_10d",
         "max_drawdown_10d", "ret_acceleration",
     ],

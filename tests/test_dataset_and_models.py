@@ -13,6 +13,7 @@ from marketframe.operators import articles as news
 from marketframe.operators import headlines, model
 from marketframe.operators.bars import build_bars, inf_to_null, normalize_columns, validate_timeseries
 from marketframe.plans.assemble import assemble, feature_consistency, feature_correlation, feature_profile, metadata, simple_features
+from marketframe.plans.features import build_features
 from marketframe.sources import tables as sources
 
 
@@ -223,3 +224,65 @@ def test_model_files(spark, panel, tmp_path):
     again = sources.load_model(str(tmp_path / "m"))
     a, b = (model.predict(m, late, ["ret_1d", "ret_5d"]).select("symbol", "ts", "prob_up") for m in (fitted, again))
     assert a.exceptAll(b).count() == 0
+
+
+def test_no_sentence_in_two_splits_where_gold_and_weak_labels_overlap(spark):
+    gold = spark.createDataFrame([(f"Sentence {i} of the list", i % 3) for i in range(40)], "text string, label int")
+    weak = spark.createDataFrame(
+        [(f"  sentence {i} OF the list ", 0, 0.9, "auto") for i in range(20)]
+        + [(f"weak text number {i}", i % 3, 0.8, "auto") for i in range(100)],
+        "text string, label int, confidence double, source string",
+    )
+    rows = headlines.split_dataset(weak, gold).toPandas()
+    rows["key"] = rows.text.str.strip().str.lower()
+    assert rows.groupby("key").split.nunique().max() == 1
+    assert rows[rows.key.str.startswith("sentence")].source.eq("gold").all() and rows.key.nunique() == 140
+    copies = rows[rows.source == "gold"].groupby("key").size()
+    assert set(copies) == {1, headlines.GOLD_COPIES}
+
+
+def test_training_keeps_nothing(spark, panel):
+    panel.count()  # the fixture is cached with its first use
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    rows = model.target_label(build_features(panel, modules=["returns"]))
+    fitted, early, late = model.train(rows, ["ret_1d", "ret_5d"], maxIter=2)
+    assert early.count() > late.count() > 0 and model.predict(fitted, late, ["ret_1d", "ret_5d"]).count() == late.count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_gold_check_broadcasts_no_predictions(spark):
+    gold = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "text string, label int")
+    said = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0), ("x", 2)], "text string, prediction int")
+    assert tuple(headlines.gold_check(said, gold).first()) == (3, 1, 1 / 3)
+
+
+def test_a_period_reads_its_months_only(spark, panel, tmp_path):
+    from marketframe.sources.tables import read_bars, write_bars, write_features
+
+    write_bars(panel, str(tmp_path / "bars"))
+    recent = read_bars(spark, str(tmp_path / "bars"), period="2 months")
+    assert recent.columns == panel.columns and 0 < recent.count() < panel.count()
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan
+    write_features(panel, str(tmp_path / "features"))
+    assert not [x for x in (tmp_path / "features").iterdir() if x.is_dir()]
+    assert spark.read.parquet(str(tmp_path / "features")).count() == panel.count()
+
+
+def test_correlations_of_many_columns_with_missing_values(spark, panel):
+    from marketframe.plans.assemble import feature_correlation
+
+    df = build_features(panel, modules=["returns", "sr_proximity"])
+    columns = ["close", "ret_1d", "ret_20d", "range_pos_20", "ret_skew_5d"]
+    want = df.toPandas()[columns].corr()
+    got = feature_correlation(df.repartition(3), columns).collect()
+    assert len(got) == 15 and all(abs(r["corr"] - want.loc[r["a"], r["b"]]) <= 0.00051 for r in got)
+
+
+def test_weeks_and_months(spark, panel):
+    from marketframe.operators.bars import most_bars, validate_timeseries
+
+    days = panel.select("ts").distinct()
+    assert most_bars(days, "ts", "week") == 48 and most_bars(days, "ts", "month") == 11
+    monthly = panel.where("symbol = 'AAA'").where("day(ts) = 1")
+    assert validate_timeseries(monthly, unit="month").first()["missing_steps"] == 0

@@ -30,7 +30,7 @@ def test_registry():
     assert set(sql) <= set(queries) and len(queries) >= 90
     assert set(QUERIES) <= set(queries) and set(ORACLE) <= set(sql)
     assert set(QUERIES) - set(ORACLE) == {
-        "headline_classifier", "train_eval", "feature_importance", "predict_latest", "assemble", "assemble_metadata"}
+        "headline_classifier", "train_eval", "feature_importance", "predict_latest"}
 
 
 @pytest.mark.filterwarnings("ignore::UserWarning")

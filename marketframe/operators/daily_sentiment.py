@@ -92,8 +92,7 @@ def build_daily_sentiment(
     Symbols without bars have no trading day and fall out. What cannot count (late, or a
     repeated title of the same day) is dropped before scoring: the scorer is the expensive
     step, and the first article of a title is the one that counts either way. The kept
-    articles are computed once, since scoring reads them for the distinct texts, for
-    the hot ones, and for the join back.
+    articles are computed once, since scoring reads them for the distinct texts and for the join back.
     """
     dated = align_to_trading_day(articles, bars)
     titles = dated.withColumn("__title", F.lower(strip(F.col("title"))))

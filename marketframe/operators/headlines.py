@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marketframe.functions.kernels import round4
 from marketframe.functions.scalars import LABEL_IDS, LABEL_NAMES, label_name, strip, text_key
-from marketframe.operators.articles import distinct_texts, score_texts
+from marketframe.operators.articles import score_texts
 from marketframe.operators.skew import first_per_group, hash_ranks
 
 MIN_LENGTH = 15

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +32,18 @@ def work_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/kept-{uuid.uuid4().hex}"
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package where the driver found it, whatever folder they start in.
+
+    On a cluster that doesn't share the folder the package must be installed or sent with the job.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    return spark
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back: it is computed once and outlives lost executors."""
     path = work_folder(df.sparkSession)

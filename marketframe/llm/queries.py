@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketframe.llm import linededup, merkle, mixing, packing, quality, secrets, simhash, token_counts, toxicity, vectors
+from marketframe.llm.common import importable
 from marketframe.llm.learn import held_out
 from marketframe.llm.oracle import ORACLE  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -81,9 +82,10 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def common_blocks(a: list[int], b: list[int], words: list[int], least_words: int = LEAST_WORDS) -> list[int]:
-    """Places in ``a`` (the later document) of the aligned blocks with at least so many words.
+    """Places in ``a`` (the later document) of all stretches with at least so many words that ``b`` holds too.
 
-    A block goes on while both documents go on.
+    Aligned blocks come first; a block goes on while both documents go on. If that leaves lines,
+    every stretch of ``a`` is looked for anywhere in ``b``.
     """
     out, block, size, last = [], [], 0, None
     for i, j in patience(a, b):
@@ -94,7 +96,70 @@ def common_blocks(a: list[int], b: list[int], words: list[int], least_words: int
         block.append(i)
         size += words[i]
         last = (i, j)
-    return out + block if size >= least_words else out
+    if size >= least_words:
+        out += block
+    return out if len(out) == len(a) else held_stretches(a, b, words, least_words)
+
+
+def automaton(b: list[int | None]) -> tuple[list[dict], list[int], list[int]]:
+    """Suffix automaton of ``b``: of each state the next states, the suffix link, and the longest length."""
+    following, link, longest, last = [{}], [-1], [0], 0
+    for x in b:
+        new = len(following)
+        following.append({})
+        link.append(0)
+        longest.append(longest[last] + 1)
+        at = last
+        while at >= 0 and x not in following[at]:
+            following[at][x] = new
+            at = link[at]
+        if at >= 0:
+            to = following[at][x]
+            if longest[to] != longest[at] + 1:
+                copy = len(following)
+                following.append(dict(following[to]))
+                link.append(link[to])
+                longest.append(longest[at] + 1)
+                while at >= 0 and following[at].get(x) == to:
+                    following[at][x] = copy
+                    at = link[at]
+                link[to] = copy
+                to = copy
+            link[new] = to
+        last = new
+    return following, link, longest
+
+
+def held_stretches(a: list[int], b: list[int], words: list[int], least_words: int = LEAST_WORDS) -> list[int]:
+    """Places in ``a`` of all stretches with at least so many words that occur anywhere in ``b``.
+
+    For each end the longest such stretch is known from the automaton, in steps linear in both.
+    """
+    in_a, parts = set(a), []
+    for x in b:
+        if x in in_a:
+            parts.append(x)
+        elif parts and parts[-1] is not None:
+            parts.append(None)  # lines that aren't in ``a`` part what is
+    following, link, longest = automaton(parts)
+    before = [0, *accumulate(words)]
+    starts, state, n = [len(a)] * len(a), 0, 0
+    for i, x in enumerate(a):
+        while state and x not in following[state]:
+            state = link[state]
+            n = longest[state]
+        if x in following[state]:
+            state, n = following[state][x], n + 1
+        if before[i + 1] - before[i + 1 - n] >= least_words:
+            starts[i] = i + 1 - n
+    out, start = [], len(a)
+    for i in range(len(a) - 1, -1, -1):
+        start = min(start, starts[i])
+        if start <= i:
+            out.append(i)
+        else:
+            start = len(a)
+    return out[::-1]
 
 
 def line_hashes(text: str, least_words: int = LEAST_WORDS) -> tuple[list[int], list[int], list[int], list[int]]:
@@ -110,17 +175,40 @@ def line_hashes(text: str, least_words: int = LEAST_WORDS) -> tuple[list[int], l
             places.append(i)
             hashes.append(xxhash.xxh64_intdigest(body) - (1 << 63))
             words.append(len(body.split()))
-    runs, end, held = [], 0, 0
-    for start in range(len(places)):
-        while end < len(places) and held < least_words:
+    return places, hashes, words, [run for _, _, run in line_runs(hashes, words, least_words)]
+
+
+def line_runs(hashes: list[int], words: list[int], least_words: int = LEAST_WORDS):
+    """(start, end, hash) of the run of lines that starts at each line."""
+    end, held = 0, 0
+    for start in range(len(hashes)):
+        while end < len(hashes) and held < least_words:
             held += words[end]
             end += 1
         if held < least_words:
             break
         run = hashes[start] if end == start + 1 else xxhash.xxh64_intdigest(np.array(hashes[start:end], "<i8").tobytes()) - (1 << 63)
-        runs.append(run)
+        yield start, end, run
         held -= words[start]
-    return places, hashes, words, runs
+
+
+def left_of(places: list[int], h: list[int], w: list[int], gone: list[int]) -> tuple[list[int], list[int], list[int], list[bool]]:
+    """Places, hashes and words of the lines that are left, and whether lines are gone between each and the last one."""
+    out, gap, gone = ([], [], [], []), False, set(gone)
+    for row in zip(places, h, w, strict=True):
+        if row[0] in gone:
+            gap = True
+        else:
+            for col, x in zip(out, (*row, gap), strict=True):
+                col.append(x)
+            gap = False
+    return out
+
+
+def closed_runs(h: list[int], w: list[int], gap: list[bool], least_words: int = LEAST_WORDS) -> list[int]:
+    """The runs of what is left that go over a gap."""
+    gaps = [0, *accumulate(gap)]
+    return [run for start, end, run in line_runs(h, w, least_words) if gaps[end] > gaps[start + 1]]
 
 
 def deletions(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,9 +232,8 @@ def deletions(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "do
     held = seqs.select("doc", F.explode("runs").alias("run"))
     first = held.groupBy("run").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("run", "first")
     pairs = settle(held.join(first, "run").where("first < doc").select("doc", "first").distinct())
-    once = lambda side: seqs.join(pairs.select(F.col(side).alias("doc")).distinct(), "doc", "left_semi").dropDuplicates(["doc"])
-    later, earlier = once("doc").select("doc", "places", "h", "w"), once("first").select(F.col("doc").alias("first"), F.col("h").alias("fh"))
-    both = pairs.join(later, "doc").join(earlier, "first")
+    once = lambda docs: seqs.join(docs.distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+    list_of = lambda kind: pa.list_(kind())
 
     def align(batches):
         for b in batches:
@@ -154,12 +241,41 @@ def deletions(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "do
             for doc, places, h, w, fh in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 gone = common_blocks(h, fh, w, least_words)
                 if gone:
-                    out.append((doc["doc_id"], doc["key"], [places[i] for i in gone]))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["doc_id", "key", "places"])
+                    out.append((doc, [places[i] for i in gone]))
+            cols = [pa.array([x[0] for x in out], b.schema.field(0).type), pa.array([x[1] for x in out], list_of(pa.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc", "places"])
 
-    gone = both.select("doc", "places", "h", "w", "fh").mapInArrow(align, "doc_id long, key long, places array<int>")
-    return gone.groupBy("doc_id", "key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+    def aligned(pairs: DataFrame, later: DataFrame) -> DataFrame:
+        earlier = once(pairs.select(F.col("first").alias("doc"))).select(F.col("doc").alias("first"), F.col("h").alias("fh"))
+        both = pairs.join(later, "doc").join(earlier, "first")
+        return both.select("doc", "places", "h", "w", "fh").mapInArrow(align, gone_type)
+
+    def leave(batches):
+        for b in batches:
+            rows = [left_of(*x) for x in zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True)]
+            cols = [[x[k] for x in rows] for k in range(3)] + [[closed_runs(*x[1:], least_words) for x in rows]]
+            kinds = (pa.int32, pa.int64, pa.int32, pa.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *(pa.array(c, list_of(k)) for c, k in zip(cols, kinds, strict=True))], ["doc", "places", "h", "w", "runs"])
+
+    of = seqs.schema["doc"].dataType.simpleString()
+    gone_type, left_type = f"doc {of}, places array<int>", f"doc {of}, places array<int>, h array<bigint>, w array<int>, runs array<bigint>"
+    as_one = lambda gone: gone.groupBy("doc").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+    gone = settle(as_one(aligned(pairs, once(pairs.select("doc")).select("doc", "places", "h", "w"))))
+    changed = gone
+    while True:
+        # What is left of the documents that lost lines last; each turn deletes lines, so this ends.
+        cut = once(changed.select("doc")).join(gone.withColumnRenamed("places", "gone"), "doc").select("doc", "places", "h", "w", "gone")
+        left = cut.mapInArrow(leave, left_type)
+        closed = settle(left.select("doc", F.explode("runs").alias("run")))
+        first = held.join(closed.select("run").distinct(), "run", "left_semi").groupBy("run").agg(F.min("doc").alias("first"))
+        pairs = settle(closed.join(first, "run").where("first < doc").select("doc", "first").distinct())
+        if pairs.isEmpty():
+            break
+        later = left.join(pairs.select("doc").distinct(), "doc", "left_semi").select("doc", "places", "h", "w")
+        changed = settle(as_one(aligned(pairs, later)))
+        gone = settle(as_one(gone.union(changed)))
+    return gone.select("doc.doc_id", "doc.key", "places")
 
 
 def without_common_lines(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,7 +285,7 @@ def without_common_lines(docs: DataFrame, least_words: int = LEAST_WORDS, id_col
     added. A null or empty text stays as it is; a document all of whose lines go has an empty
     text. Ids may be null or repeat (see ``deletions``); every row stays.
     """
-    gone = settle(deletions(docs, least_words, id_col, text_col)).select(
+    gone = deletions(docs, least_words, id_col, text_col).select(
         F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("places").alias("__places")
     )
     # The deletions grow with the documents: no broadcast, whatever a small table's size suggests.

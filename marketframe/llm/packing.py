@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketframe.llm import tokens
 from marketframe.llm.common import settle, text_or_empty
-from marketframe.llm.tokens import byte_bpe, tokenizer_path
+from marketframe.llm.tokens import tokenizer_path
 
 WINDOW = 1024
 GROUP = 4096
@@ -31,11 +32,10 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, and ids if they are kept."""
 
     def run(batches):
-        encode = byte_bpe(path).encode_to_numpy
         for b in batches:
             doc, start, length, crc, total, kept = [], [], [], [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.append(encode(text, allowed_special="all"), END_ID).astype("<u4")
+                ids = np.append(tokens.ids(path, text), END_ID).astype("<u4")
                 for at in range(0, len(ids), window):
                     part = ids[at : at + window]
                     doc.append(doc_id)

@@ -25,8 +25,6 @@ from marketframe.llm.learn import Constant, held_out, sigmoid
 
 #: Labelled rows to learn from: toxic ones and others, each the first by a hash of the id.
 TOXIC_ROWS, OTHER_ROWS = 4000, 8000
-#: Candidates counted, terms kept, terms whose misspellings are looked for, known harmless forms.
-CANDIDATES, TERMS, FUZZY, FORMS = 20_000, 2000, 256, 5000
 LEAST_SEEN, LEAST_ODDS = 4, 3.0
 PREFIXES = range(4, 8)
 CONTEXT = 8
@@ -277,30 +275,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", toxic_rows: in
             found = [x for t in b.column(0).to_pylist() for x in terms_of(t)]
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([p for _, p in found], pa.int64())], ["term", "place"])
 
-    toxic = sample.where("label = 1").select("text").mapInArrow(terms, "term string, place long")
-    places = toxic.distinct().groupBy("term").count().where(F.col("count") >= LEAST_SEEN)
-    candidates = dict(places.orderBy(F.desc("count"), "term").limit(CANDIDATES).collect())
-
-    def others(batches):
-        for b in batches:
-            found = [t for x in b.column(0).to_pylist() for t, _ in terms_of(x) if t in candidates]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["term"])
-
-    # At most CANDIDATES rows.
-    other = dict(sample.where("label = 0").select("text").mapInArrow(others, "term string").groupBy("term").count().collect())
-    odds = {t: math.log((k + 0.5) / (n[1] + 1)) - math.log((other.get(t, 0) + 0.5) / (n[0] + 1)) for t, k in candidates.items()}
-    kept = sorted((t for t in odds if odds[t] >= LEAST_ODDS), key=lambda t: (-odds[t] * math.log(candidates[t]), t))[:TERMS]
+    found = lambda v: sample.where(F.col("label") == v).select("text").mapInArrow(terms, "term string, place long")
+    places = found(1).distinct().groupBy("term").agg(F.count("*").alias("k")).where(F.col("k") >= LEAST_SEEN)
+    other = found(0).groupBy("term").agg(F.count("*").alias("other"))
+    ratio = F.log((F.col("k") + 0.5) / (n[1] + 1)) - F.log((F.coalesce("other", F.lit(0)) + 0.5) / (n[0] + 1))
+    telling = places.join(other, "term", "left").select("term", "k", ratio.alias("odds")).where(F.col("odds") >= LEAST_ODDS)
+    # All of them, however many: the sample's size bounds them.
+    seen = {r.term: (r.k, r.odds) for r in telling.collect()}
+    odds = {t: o for t, (_, o) in seen.items()}
+    kept = sorted(odds, key=lambda t: (-odds[t] * math.log(seen[t][0]), t))
     words = {t: odds[t] for t in kept if not t.endswith("*")}
     beginnings = {t[:-1]: odds[t] for t in kept if t.endswith("*")}
-    fuzzy = [t for t in words if errors_allowed(len(t))][:FUZZY]
+    fuzzy = [t for t in words if errors_allowed(len(t))]
     lexicon = Lexicon(words, beginnings, fuzzy)
 
     # Forms near a term that other documents use are words of their own; a term with many such neighbours isn't looked for.
     near = ToxicityModel(lexicon, None).hits(sample.where("label = 0")).where("errors > 0").select("term", "form", "doc_id").distinct()
     forms = settle(near.groupBy("term", "form").count())
-    harmless = frozenset(r[0] for r in forms.where("count > 1").orderBy(F.desc("count"), "form").limit(FORMS).select("form").collect())
-    common = forms.where("count = 1").groupBy("term").count().where(F.col("count") > max(4, 0.003 * n[0])).collect()  # at most FUZZY rows
-    lexicon = Lexicon(words, beginnings, [t for t in fuzzy if t not in {r[0] for r in common}], harmless)
+    harmless = frozenset(r[0] for r in forms.where("count > 1").select("form").distinct().collect())
+    common = forms.where("count = 1").groupBy("term").count().where(F.col("count") > max(4, 0.003 * n[0])).collect()  # at most a row a term
+    common = {r[0] for r in common}
+    lexicon = Lexicon(words, beginnings, [t for t in fuzzy if t not in common], harmless)
 
     def features(batches):
         for b in batches:

@@ -19,8 +19,6 @@ from marketframe.plans.features import build_features
 from marketframe.sources.tables import recent_articles, within_period
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-# Trees per model in the registered training queries; the library's default is 300.
-ROUNDS = 5
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
@@ -526,35 +524,32 @@ def _naive(spark, sf):
 
 
 def _training_rows(spark, sf):
+    """Labelled bars with every column of every price module, and the names a model is trained on."""
     bars, n = t.bars_daily(spark, sf), t.longest(spark, sf, t.bars_daily)
-    f = build_features(bars, modules=["momentum", "sr_proximity", "returns"], longest=n)
-    return model.target_label(f, longest=n)
-
-
-MODEL_INPUTS = [
-    "rsi_14", "roc_5", "roc_20", "ret_1d", "ret_5d", "ret_std_20d", "range_pos_20", "range_pos_100",
-    "max_drawdown_10d",
-]
+    rows = model.target_label(build_features(bars, longest=n), longest=n)
+    return rows, registry.feature_columns(rows)
 
 
 @query
 def train_eval(spark, sf):
-    fitted, _, late = model.train(_training_rows(spark, sf), MODEL_INPUTS, maxIter=ROUNDS)
-    predictions = model.predict(fitted, late, MODEL_INPUTS)
+    rows, inputs = _training_rows(spark, sf)
+    fitted, _, late = model.train(rows, inputs)
+    predictions = model.predict(fitted, late, inputs)
     return model.binary_report(predictions).withColumn("roc_auc", F.lit(model.roc_auc(predictions)))
 
 
 @query
 def feature_importance(spark, sf):
-    fitted, _, _ = model.train(_training_rows(spark, sf), MODEL_INPUTS, maxIter=ROUNDS)
-    return model.feature_importance(fitted, MODEL_INPUTS)
+    rows, inputs = _training_rows(spark, sf)
+    fitted, _, _ = model.train(rows, inputs)
+    return model.feature_importance(fitted, inputs)
 
 
 @query
 def predict_latest(spark, sf):
-    rows = _training_rows(spark, sf)
-    fitted, _, _ = model.train(rows, MODEL_INPUTS, maxIter=ROUNDS)
-    return model.predict_latest(fitted, rows, MODEL_INPUTS)
+    rows, inputs = _training_rows(spark, sf)
+    fitted, _, _ = model.train(rows, inputs)
+    return model.predict_latest(fitted, rows, inputs)
 
 
 @query

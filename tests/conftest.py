@@ -1,15 +1,14 @@
 import sys
 from pathlib import Path
 
-import numpy as np
 import pandas as pd
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from marketframe.session import checkpoint_dir, local_session  # noqa: E402
+from bar_helpers import SF, bars_frame, to_spark  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
+from marketframe.session import checkpoint_dir, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -26,39 +25,11 @@ def sf():
     return SF
 
 
-def bars_frame(symbol: str, n: int, seed: int, start: str = "2001-01-01") -> pd.DataFrame:
-    """Random daily bars with flat bars, repeated closes and zero volumes among them."""
-    rng = np.random.default_rng(seed)
-    close = np.round(100 + np.cumsum(rng.normal(0, 1.5, n)), 1).clip(5)
-    open_ = np.round(close + rng.normal(0, 1, n), 1).clip(5)
-    high = np.maximum(open_, close) + np.round(rng.exponential(0.7, n), 1)
-    low = (np.minimum(open_, close) - np.round(rng.exponential(0.7, n), 1)).clip(1)
-    flat = rng.random(n) < 0.05
-    for a in (open_, high, low):
-        a[flat] = close[flat]
-    volume = np.where(rng.random(n) < 0.05, 0.0, rng.integers(100, 5000, n).astype(float))
-    return pd.DataFrame({
-        "symbol": symbol, "ts": pd.date_range(start, periods=n, freq="D"),
-        "open": open_, "high": high, "low": low, "close": close, "volume": volume,
-    })
-
-
 @pytest.fixture(scope="session")
 def panel_pdf():
     return pd.concat([bars_frame("AAA", 330, 1), bars_frame("BBB", 90, 2), bars_frame("ONE", 1, 3)])
 
 
-def to_spark(spark, pdf):
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame(pdf)
-    return df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-
-
 @pytest.fixture(scope="session")
 def panel(spark, panel_pdf):
     return to_spark(spark, panel_pdf).cache()
-
-
-def collect(df, by=("symbol", "ts")):
-    return df.toPandas().sort_values(list(by)).reset_index(drop=True)

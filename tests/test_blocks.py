@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import bars_frame, collect, to_spark
+from bar_helpers import bars_frame, collect, to_spark
 from pyspark.sql import functions as F
 
 from marketframe.operators import panel as panels

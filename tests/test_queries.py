@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from conftest import SF
+from bar_helpers import SF
 
 import __spark_entry__ as entry
 from catalog.oracle import ORACLE

@@ -30,6 +30,7 @@ PREFIXES = range(4, 8)
 CONTEXT = 8
 KEEP = 0.5
 MEMO = 400_000
+LOOKED_UP: dict[str, dict] = {}
 
 QUOTES = "\"“”„«»‘’‹›"
 EDGES = QUOTES + "'.,;:!?()[]{}<>…*_~`|/\\-–—#%&$@+="
@@ -49,6 +50,22 @@ def errors_allowed(n: int) -> int:
     return 0 if n < 5 else 1 if n < 9 else 2
 
 
+def pair_bits(words: list[str]) -> np.ndarray:
+    """Two 64-bit words for each word: a bit for the hash of each pair of neighbouring letters, edges included."""
+    out = np.zeros((len(words), 2), np.uint64)
+    if not words:
+        return out
+    text = np.array([f"\1{w}\1" for w in words])
+    code = text.view(np.uint32).reshape(len(words), -1).astype(np.uint64)
+    for a, b in zip(code.T[:-1], code.T[1:], strict=True):
+        h = (a * np.uint64(0x9E3779B1) + b * np.uint64(0x85EBCA77)) >> np.uint64(13)
+        bit = np.where(b > 0, np.uint64(1) << (h & np.uint64(63)), np.uint64(0))
+        second = (h >> np.uint64(6) & np.uint64(1)).astype(bool)
+        out[:, 0] |= np.where(second, np.uint64(0), bit)
+        out[:, 1] |= np.where(second, bit, np.uint64(0))
+    return out
+
+
 class Trie:
     """Terms as a trie; each node knows the letters and lengths below it, to leave hopeless branches."""
 
@@ -57,6 +74,7 @@ class Trie:
         self.need: list[int] = [-1]
         self.lengths: list[int] = [0]
         self.terms = terms
+        self._by_length: list[tuple[int, np.ndarray]] | None = None
         self.bits = {c: 1 << i for i, c in enumerate(sorted({c for t in terms for c in t}))}
         for no, t in enumerate(terms):
             letters, at = self.letters(t), 0
@@ -82,6 +100,32 @@ class Trie:
         self.need[node] &= letters
         self.lengths[node] |= 1 << n
 
+    def possible(self, words: list[str]) -> np.ndarray:
+        """For each word whether a term's length and letter pairs leave a chance that ``near`` finds one.
+
+        An error spoils at most two of a term's pairs of neighbouring letters (its start and end
+        count as letters), so of a term within e errors the word lacks at most 2 e pairs. Pairs
+        are kept as bits by a hash, which can only hide a lack. All words are compared at once.
+        """
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        most = np.array([0] * 4 + [1] * 4 + [2])[np.minimum(sizes, 8)]  # errors_allowed(length + 1)
+        out = np.zeros(len(words), bool)
+        kept = np.flatnonzero((most > 0) & (sizes <= 60))
+        if self._by_length is None:
+            terms = sorted(set(self.terms))
+            size, pairs = np.array([len(t) for t in terms], np.int64), pair_bits(terms)
+            self._by_length = [(n, np.unique(pairs[size == n], axis=0)) for n in np.unique(size)]
+        for at in range(0, len(kept), 4096):
+            some = kept[at : at + 4096]
+            mine = pair_bits([words[i] for i in some])
+            for n, theirs in self._by_length:
+                allowed = np.minimum(most[some], errors_allowed(int(n)))
+                rows = np.flatnonzero(~out[some] & (np.abs(sizes[some] - n) <= allowed))
+                if len(rows):
+                    lacks = np.bitwise_count(theirs[None, :, :] & ~mine[rows, None, :]).sum(axis=2)
+                    out[some[rows]] = (lacks <= 2 * allowed[rows][:, None]).any(axis=1)
+        return out
+
     def near(self, word: str) -> tuple[int, int] | None:
         """(errors, number of the term) of the nearest term within its allowed errors, or None."""
         n = len(word)
@@ -126,51 +170,96 @@ class Lexicon:
         self.words, self.beginnings, self.fuzzy, self.harmless = words, beginnings, fuzzy, harmless
         self.trie, self.memo = Trie(fuzzy), {}
 
+    def digest(self) -> str:
+        parts = repr((sorted(self.words.items()), sorted(self.beginnings.items()), self.fuzzy, sorted(self.harmless)))
+        return xxhash.xxh128_hexdigest(parts.encode())
+
     def __getstate__(self):
         return {"words": self.words, "beginnings": self.beginnings, "fuzzy": self.fuzzy, "harmless": self.harmless}
 
     def __setstate__(self, state):
         self.__init__(**state)
-
-    def look_up(self, word: str) -> tuple[str, float, int] | None:
-        """(term, weight, errors) of a normal word."""
+        # The tasks of one worker share what was looked up; only the last lexicon's is held.
+        mine = self.digest()
+        if mine not in LOOKED_UP:
+            LOOKED_UP.clear()
+        self.memo = LOOKED_UP.setdefault(mine, {})
+
+    def look_up(self, word: str, near: bool = True) -> tuple[str, float, int] | None:
+        """(term, weight, errors) of a normal word; ``near`` tells whether it may be a misspelt term."""
         if word in self.words:
             return word, self.words[word], 0
         begins = [(self.beginnings[word[:n]], word[:n]) for n in PREFIXES if len(word) > n and word[:n] in self.beginnings]
         if begins:
             weight, term = max(begins)
             return f"{term}*", weight, 0
-        near = None if word in self.harmless else self.trie.near(word)
-        if near and near[0]:
-            term = self.fuzzy[near[1]]
-            return term, self.words[term] * 0.8 ** near[0], near[0]
+        found = self.trie.near(word) if near and word not in self.harmless else None
+        if found and found[0]:
+            term = self.fuzzy[found[1]]
+            return term, self.words[term] * 0.8 ** found[0], found[0]
         return None
 
-    def hit(self, chunk: str) -> tuple[str, float, int, str] | None:
-        """The hit of a run of characters, or of the strongest of its parts between hyphens and the like."""
-        if chunk in self.memo:
-            return self.memo[chunk]
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
+    def parts(self, chunk: str) -> list[str]:
+        """A run of characters as a normal word, and its parts between hyphens and the like."""
         whole = normal(chunk)
-        words = {whole} | {normal(p) for p in whole.replace("/", "-").replace("_", "-").replace("’", "'").replace("'", "-").split("-")}
-        found = [(x[1], x[0], x[2], w) for w in sorted(words) if len(w) > 2 and (x := self.look_up(w))]
-        weight, term, errors, word = max(found) if found else (0, "", 0, "")
-        self.memo[chunk] = out = (term, weight, errors, word) if found else None
-        return out
+        words = {whole}
+        if not whole.isalnum():
+            words |= {normal(p) for p in whole.replace("/", "-").replace("_", "-").replace("’", "'").replace("'", "-").split("-")}
+        return sorted(w for w in words if len(w) > 2)
+
+    def learn(self, chunks) -> None:
+        """Look up the given runs of characters, each once; only words that may be near a term walk the trie."""
+        fresh = [c for c in chunks if c not in self.memo]
+        if len(self.memo) + len(fresh) > MEMO:
+            self.memo.clear()
+            fresh = list(chunks)
+        parts = [self.parts(c) for c in fresh]
+        words = list({w for p in parts for w in p})
+        chance = self.trie.possible(words)
+        known = {}
+        for w, near in zip(words, chance.tolist(), strict=True):
+            x = self.look_up(w, near)
+            if x:
+                known[w] = (x[1], x[0], x[2], w)
+        for c, p in zip(fresh, parts, strict=True):
+            found = [known[w] for w in p if w in known]
+            if found:
+                weight, term, errors, word = max(found)
+                self.memo[c] = (term, weight, errors, word)
+            else:
+                self.memo[c] = None
+
+    def prepared(self, texts: list[str]):
+        """The texts, after the words of as many as ``MEMO`` has room for were looked up together."""
+        held, words = [], set()
+        for t in texts:
+            held.append(t)
+            words.update(t.split())
+            if len(words) > MEMO // 2:
+                self.learn(words)
+                yield from held
+                held, words = [], set()
+        self.learn(words)
+        yield from held
+
+    def hit(self, chunk: str) -> tuple[str, float, int, str] | None:
+        """The hit of a run of characters, or of the strongest of its parts."""
+        if chunk not in self.memo:
+            self.learn([chunk])
+        return self.memo[chunk]
 
     def hits(self, text: str) -> list[tuple]:
         """(word number, term, weight, errors, form, quoted, reported, addressed) of each hit."""
         chunks = text.split()
+        self.learn(dict.fromkeys(chunks))
+        memo = self.memo
         out = []
-        for i, h in enumerate(map(self.hit, chunks)):
-            if h is None:
-                continue
+        for i in [i for i, c in enumerate(chunks) if memo[c]]:
             before, after = chunks[max(0, i - CONTEXT) : i], chunks[i + 1 : i + 1 + CONTEXT]
             opened = sum(c[0] in QUOTES for c in [*before, chunks[i]]) - sum(c.rstrip(".,;:!?")[-1:] in QUOTES and c[-1:] != "" for c in before if len(c) > 1)
             closed = any(c.rstrip(".,;:!?")[-1:] and c.rstrip(".,;:!?")[-1] in QUOTES for c in [chunks[i], *after])
             near = {normal(c) for c in before + after}
-            out.append((i, *h, opened > 0 and closed, bool(near & REPORTING), bool(near & ADDRESS)))
+            out.append((i, *memo[chunks[i]], opened > 0 and closed, bool(near & REPORTING), bool(near & ADDRESS)))
         return out
 
     def features(self, text: str) -> tuple[float, float, float]:
@@ -210,8 +299,8 @@ class ToxicityModel:
         self.lexicon, self.judge = lexicon, judge
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        x = np.array([self.lexicon.features(t) for t in texts], float).reshape(-1, 3)
-        return self.judge(x)
+        x = [self.lexicon.features(t) for t in self.lexicon.prepared(texts)]
+        return self.judge(np.array(x, float).reshape(-1, 3))
 
     def column(self, text_col: str = "text") -> Column:
         """The score of a text as a column."""
@@ -227,7 +316,8 @@ class ToxicityModel:
 
         def run(batches):
             for b in batches:
-                rows = [(i, *h) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for h in self.lexicon.hits(t)]
+                texts = self.lexicon.prepared(b.column(1).to_pylist())
+                rows = [(i, *h) for i, t in zip(b.column(0).to_pylist(), texts, strict=True) for h in self.lexicon.hits(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(fields)], [n for n, _ in fields])
 
         fields = [("doc_id", pa.int64()), ("word_no", pa.int64()), ("term", pa.string()), ("weight", pa.float64()), ("errors", pa.int64()),
@@ -299,7 +389,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", toxic_rows: in
 
     def features(batches):
         for b in batches:
-            x = [list(lexicon.features(t)) for t in b.column(2).to_pylist()]
+            x = [list(lexicon.features(t)) for t in lexicon.prepared(b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
     pdf = sample.select("doc_id", "label", "text").mapInArrow(features, "doc_id long, label int, x array<double>")

@@ -179,3 +179,4 @@ def test_automaton_equals_edit_distance():
         far = ((edit_distance(w, t), i) for i, t in enumerate(terms))
         want = min(((d, i) for d, i in far if d <= min(most, toxicity.errors_allowed(len(terms[i])))), default=None)
         assert trie.near(w) == (want if most else None)
+        assert trie.possible([w])[0] or not trie.near(w)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm import linededup, merkle, mixing, packing, quality, secrets, simhash, token_counts, toxicity, vectors
+from marketframe.llm import linededup, merkle, mixing, negatives, packing, quality, secrets, simhash, token_counts, toxicity, vectors
 from marketframe.llm.common import importable
 from marketframe.llm.learn import held_out
 from marketframe.llm.oracle import ORACLE  # noqa: F401
@@ -61,6 +61,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.KEEP).cast("int"))
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, negatives.relabelled())
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_vectors": op2_vectors,
@@ -72,4 +76,5 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_merkle": op9_merkle,
     "op10_toxicity": op10_toxicity,
+    "op13_negatives": op13_negatives,
 }

@@ -8,6 +8,8 @@ import uuid
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,3 +129,44 @@ def into_units(rows: DataFrame, keys: list[str], spread_by: str, block: int) ->
         .withColumn("unit_hi", F.greatest("block_no", "__other"))
         .drop("__n", "__blocks", "__other")
     )
+
+
+#: Bits of a sieve's table: 16 MB, whatever the size of what it holds.
+SIEVE_BITS, SLICES = 27, 64
+
+
+class Sieve:
+    """A table of bits of a fixed size that tells of a hash (a long) whether it may be among given ones.
+
+    It spares work and decides nothing: an exact join or count follows, and a table that is too full lets more through.
+    """
+
+    def __init__(self, keys: DataFrame, name: str):
+        """From the hashes in column ``name``; each slice of the table is made in a task of its own."""
+        part_bits = (1 << SIEVE_BITS) // SLICES
+
+        def run(key, t):
+            bits = np.zeros(part_bits, np.uint8)
+            bits[t["at"].to_numpy() % part_bits] = 1
+            return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+        places = keys.select(F.pmod(F.col(name), F.lit(1 << SIEVE_BITS)).alias("at")).distinct()
+        places = places.withColumn("slice", F.floor(F.col("at") / part_bits).cast("int"))
+        whole = np.zeros((1 << SIEVE_BITS) // 8, np.uint8)
+        for no, bits in places.groupBy("slice").applyInArrow(run, "slice int, bits binary").collect():  # 64 rows of 256 KB
+            whole[no * part_bits // 8 : (no + 1) * part_bits // 8] = np.frombuffer(bits, np.uint8)
+        self.table = keys.sparkSession.sparkContext.broadcast(whole)
+
+    def look(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each hash (int64 or uint64) may be among the sieve's."""
+        at = keys.view(np.uint64) & np.uint64((1 << SIEVE_BITS) - 1)
+        return (self.table.value[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+
+    def lets_through(self, name: str) -> Column:
+        """Whether the hash in a column may be among the sieve's."""
+
+        @F.pandas_udf("boolean")
+        def look(keys: pd.Series) -> pd.Series:
+            return pd.Series(self.look(keys.to_numpy(np.int64)))
+
+        return look(F.col(name))

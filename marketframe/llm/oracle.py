@@ -99,3 +99,38 @@ FROM positive JOIN scored USING (anchor_id)
 WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
 QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
 """
+
+ORACLE["op12_phrases"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), listed AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM pieces
+), placed AS (
+  SELECT lang, words, unnest(range(1, len(words) + 1)) AS pos FROM listed
+), grams AS (
+  SELECT lang, size, array_to_string(list_slice(words, pos, pos + size - 1), ' ') AS phrase
+  FROM placed, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE pos + size - 1 <= len(words)
+), counts AS (
+  SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS words FROM counts WHERE size > 1 AND f >= 30
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(c.words, 1, k), ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(c.words, k + 1, c.size), ' ')
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, array_to_string(list_slice(words, pos, pos + n - 1), ' ') AS phrase, max(a) AS around
+  FROM (SELECT *, unnest(range(1, size)) AS pos FROM candidates), (SELECT unnest([2, 3]) AS n)
+  WHERE n < size AND pos + n - 1 <= size GROUP BY ALL
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM cuts LEFT JOIN inside USING (lang, phrase) JOIN totals USING (lang)
+WHERE NOT coalesce(100::HUGEINT * around >= 80::HUGEINT * a, false)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""

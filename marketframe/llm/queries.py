@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm import linededup, merkle, mixing, negatives, packing, quality, repeats, secrets, simhash, token_counts, toxicity, vectors
+from marketframe.llm import linededup, merkle, mixing, negatives, packing, phrases, quality, repeats, secrets, simhash, token_counts, toxicity, vectors
 from marketframe.llm.common import importable
 from marketframe.llm.learn import held_out
 from marketframe.llm.oracle import ORACLE  # noqa: F401
@@ -65,6 +65,10 @@ def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_report(table(spark, sf_dir, "documents"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, negatives.relabelled())
 
@@ -81,5 +85,6 @@ QUERIES = {
     "op9_merkle": op9_merkle,
     "op10_toxicity": op10_toxicity,
     "op11_repeats": op11_repeats,
+    "op12_phrases": op12_phrases,
     "op13_negatives": op13_negatives,
 }

@@ -28,14 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import settle, text_or_empty
+from marketframe.llm.common import Sieve, settle, text_or_empty
 
 #: Bytes that must repeat, bytes of a leader.
 WIDTH = 200
 LEADER = 64
 #: Bytes of a text that are hashed at a time, and of a shard.
-PIECE = 1 << 20
-SHARD = 1 << 21
+PIECE = 1 << 18
+SHARD = 1 << 19
 #: Different stretches of one leader that are compared in one shard.
 CROWD = 1000
 
@@ -139,31 +139,34 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sorted order of the suffixes of texts in a row, each closed by a mark of its own.
 
     ``data`` holds the letters from 1 on and a 0 at every place of ``ends``; marks are in order of their places.
-    Suffixes are told apart by their first 7 letters, and then by twice as many each turn; only
-    suffixes that are still equal to others are sorted again.
+    Suffixes are told apart by the first letters that fit 63 bits, and then by twice as many each turn;
+    only suffixes that are still equal to others are sorted again.
     """
     n = len(data)
     letter, place = data.astype(np.int64), np.arange(n)
     # Letters after a mark belong to another text and must not be compared.
     left = ends[np.searchsorted(ends, place)] - place
-    key = np.zeros(n, np.int64)
-    for i in range(7):
-        key = key * 512 + np.where(left > i, letter[np.minimum(place + i, n - 1)] + 1, 0)
-    order = np.argsort(key, kind="stable")
+    used = np.flatnonzero(np.bincount(letter, minlength=1))
+    code = np.zeros(int(used[-1]) + 1 if len(used) else 1, np.int64)
+    code[used] = np.arange(1, len(used) + 1)
+    letter = code[letter]
+    key, size = np.zeros(n, np.int64), 63 // int(len(used) + 1).bit_length()
+    for i in range(size):
+        key = key << (63 // size) | np.where(left > i, letter[np.minimum(place + i, n - 1)], 0)
+    order = np.argsort(key)
     ordered = key[order]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     rank = np.empty(n, np.int64)
     start = np.maximum.accumulate(np.where(new, place, 0))
     rank[order] = start
     # Suffixes that ended within the compared letters are equal up to their marks, which are in order of place.
-    size = 7
     group = np.flatnonzero(~new | ~np.concatenate([new[1:], [True]]))
     while len(group):
         rows = order[group]
         head = rank[rows]
         # What follows the compared letters: its rank, or for a suffix that ended its place before all of them.
         follow = np.where(left[rows] >= size, rank[np.minimum(rows + size, n - 1)], rows - n)
-        again = np.lexsort((follow, head))
+        again = np.argsort(head * (2 * n) + follow + n)
         rows, head, follow = rows[again], head[again], follow[again]
         order[group] = rows
         differs = np.concatenate([[True], (head[1:] != head[:-1]) | (follow[1:] != follow[:-1])])
@@ -248,44 +251,6 @@ class RunIndex:
         return list(zip(text.tolist(), (first - at).tolist(), (last + width - at).tolist(), strict=True))
 
 
-#: Bits of a sieve's table: 16 MB, whatever the size of what it holds.
-SIEVE_BITS, SLICES = 27, 64
-
-
-class Sieve:
-    """A table of bits of a fixed size that tells of a long whether it may be among given ones.
-
-    It spares shuffles and decides nothing: an exact join follows, and a table that is too full lets more through.
-    """
-
-    def __init__(self, keys: DataFrame, name: str):
-        """From the longs in column ``name``; each slice of the table is made in a task of its own."""
-        part_bits = (1 << SIEVE_BITS) // SLICES
-
-        def run(key, t):
-            bits = np.zeros(part_bits, np.uint8)
-            bits[t["at"].to_numpy() % part_bits] = 1
-            return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-        at = F.pmod(F.xxhash64(F.col(name), F.lit(3)), F.lit(1 << SIEVE_BITS))
-        places = keys.select(at.alias("at")).distinct().withColumn("slice", F.floor(F.col("at") / part_bits).cast("int"))
-        whole = np.zeros((1 << SIEVE_BITS) // 8, np.uint8)
-        for no, bits in places.groupBy("slice").applyInArrow(run, "slice int, bits binary").collect():  # 64 rows of 256 KB
-            whole[no * part_bits // 8 : (no + 1) * part_bits // 8] = np.frombuffer(bits, np.uint8)
-        self.table = keys.sparkSession.sparkContext.broadcast(whole)
-
-    def lets_through(self, name: str):
-        """Whether the long in a column may be among the sieve's."""
-        table = self.table
-
-        @F.pandas_udf("boolean")
-        def look(at: pd.Series) -> pd.Series:
-            at = at.to_numpy()
-            return pd.Series((table.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
-
-        return look(F.pmod(F.xxhash64(F.col(name), F.lit(3)), F.lit(1 << SIEVE_BITS)))
-
-
 def _same_text(a: str, b: str) -> str:
     return f"{a}.doc_id <=> {b}.doc_id AND {a}.text_key = {b}.text_key"
 

@@ -1008,6 +1008,12 @@ ORACLE["binary_report"] = _naive().sql(f"""SELECT class, {r6('p', 'precision')},
     count(*) FILTER (prediction = k) AS guessed, count(*) FILTER (target = k) AS support,
     avg({flag('target = prediction')}) AS accuracy FROM {{last}}, (VALUES ('DOWN', 0), ('UP', 1)) v(class, k) GROUP BY v.class))""")
 
+ORACLE["roc_auc"] = Chain(DAILY).step(prev=lag("close"), nxt=f"lead(close) OVER ({W})").add(
+    f"SELECT close / prev - 1 AS s, {flag('nxt > close')} AS target FROM s1 WHERE prev IS NOT NULL AND nxt IS NOT NULL"
+).sql(f"""SELECT {r6('sum(p * (below - n / 2.0)) / (sum(p) * sum(n)::DOUBLE)', 'roc_auc')} FROM (
+    SELECT p, n, sum(n) OVER (ORDER BY s) AS below FROM (
+    SELECT s, count(*) FILTER (target = 1) AS p, count(*) FILTER (target = 0) AS n FROM {{last}} GROUP BY s))""")
+
 
 # ---- from bars and articles to labelled rows ----
 

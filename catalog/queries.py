@@ -16,6 +16,7 @@ from marketframe.operators.rolling_sentiment import add_rolling_sentiment_featur
 from marketframe.plans import assemble as assembly
 from marketframe.plans import registry
 from marketframe.plans.features import build_features
+from marketframe.session import kept
 from marketframe.sources.tables import recent_articles, within_period
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -523,35 +524,53 @@ def _naive(spark, sf):
     return labelled.select("symbol", "ts", "target", (F.col("ret_1d") > 0).cast("int").alias("prediction"))
 
 
+TRAINED: dict[tuple[str, str], tuple] = {}
+
+
 def _training_rows(spark, sf):
-    """Labelled bars with every column of every price module, and the names a model is trained on."""
+    """Labelled bars with every column of every price module, written once, and the names a model is trained on."""
     bars, n = t.bars_daily(spark, sf), t.longest(spark, sf, t.bars_daily)
-    rows = model.target_label(build_features(bars, longest=n), longest=n)
+    rows = kept(model.target_label(build_features(bars, longest=n), longest=n))
     return rows, registry.feature_columns(rows)
 
 
+def _trained(spark, sf):
+    """(model, late rows, all rows, inputs): trained once for all queries of one application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in TRAINED:
+        rows, inputs = _training_rows(spark, sf)
+        fitted, _, late = model.train(rows, inputs)
+        TRAINED[key] = fitted, late, rows, inputs
+    return TRAINED[key]
+
+
 @query
 def train_eval(spark, sf):
-    rows, inputs = _training_rows(spark, sf)
-    fitted, _, late = model.train(rows, inputs)
-    predictions = model.predict(fitted, late, inputs)
-    return model.binary_report(predictions).withColumn("roc_auc", F.lit(model.roc_auc(predictions)))
+    fitted, late, _, inputs = _trained(spark, sf)
+    predictions = kept(model.predict(fitted, late, inputs).select("target", "prediction", "prob_up"))
+    return model.binary_report(predictions).crossJoin(model.roc_auc_row(predictions))
 
 
 @query
 def feature_importance(spark, sf):
-    rows, inputs = _training_rows(spark, sf)
-    fitted, _, _ = model.train(rows, inputs)
+    fitted, _, _, inputs = _trained(spark, sf)
     return model.feature_importance(fitted, inputs)
 
 
 @query
 def predict_latest(spark, sf):
-    rows, inputs = _training_rows(spark, sf)
-    fitted, _, _ = model.train(rows, inputs)
+    fitted, _, rows, inputs = _trained(spark, sf)
     return model.predict_latest(fitted, rows, inputs)
 
 
+@query
+def roc_auc(spark, sf):
+    """Exact area under the curve of yesterday's return as a score for today's direction."""
+    n = t.longest(spark, sf, t.bars_daily)
+    labelled = model.target_label(memory.add_return_features(t.bars_daily(spark, sf), longest=n), longest=n)
+    return model.roc_auc_row(labelled, "ret_1d")
+
+
 @query
 def assemble(spark, sf):
     """Bars, articles and stub scores to labelled rows of range and sentiment features."""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import (
     HashingTF,
     IDF,
@@ -18,9 +17,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketframe.functions.kernels import flag
+from marketframe.operators import boosting
+from marketframe.operators.boosting import BoostedTrees
 from marketframe.operators.panel import close_panel, open_panel
 from marketframe.operators.skew import first_per_group
-from marketframe.session import checkpoint_dir
+from marketframe.session import importable, kept
 
 # Boosted-tree settings (fixed values).
 TREES = {
@@ -94,7 +95,10 @@ def latest_rows(df: DataFrame, n: int = 1, symbol: str = "symbol", ts: str = "ts
 
 
 def direction_pipeline(features: list[str], **trees) -> Pipeline:
-    """Mean imputer, standard scaler, boosted trees. ``trees`` overrides ``TREES``."""
+    """Mean imputer, standard scaler and Spark's own boosted trees, stage by stage. ``trees`` overrides ``TREES``.
+
+    ``train`` doesn't use it: scaling changes no split, and Spark's trees take several jobs per level.
+    """
     filled = [f"{c}__filled" for c in features]
     return Pipeline(stages=[
         Imputer(strategy="mean", inputCols=features, outputCols=filled),
@@ -104,27 +108,27 @@ def direction_pipeline(features: list[str], **trees) -> Pipeline:
     ])
 
 
-def train(df: DataFrame, features: list[str], train_ratio: float = 0.8, **trees) -> tuple[PipelineModel, DataFrame, DataFrame]:
+def train(df: DataFrame, features: list[str], train_ratio: float = 0.8, **trees) -> tuple[BoostedTrees, DataFrame, DataFrame]:
     """Fit on the earlier part of the rows with a target: (model, train, test).
 
-    Fitting reads its rows once per stage and tree, so the rows are kept once, in Spark's storage while
-    the fit runs, and both parts are filters of the table that was passed in. Nothing stays kept
-    afterwards. Boosting cuts its lineage every 10 trees where a checkpoint folder is named.
+    The labelled rows are written once, and everything after reads that table: the cut, the bins of the
+    columns, both parts that are returned. ``trees`` overrides ``TREES``; see ``boosting`` for the method.
     """
-    as_double = [F.col(c).cast("double").alias(c) if c in features else F.col(c) for c in df.columns]
-    rows = df.where(F.col("target").isNotNull()).select(*as_double)
-    checkpoint_dir(df.sparkSession)
-    parts = chronological_split(rows, train_ratio)
+    importable(df.sparkSession)
+    parts = chronological_split(kept(df.where(F.col("target").isNotNull())), train_ratio)
     early, late = (parts.where(F.col("split") == s).drop("split") for s in ("train", "test"))
-    kept = early.persist()
-    try:
-        return direction_pipeline(features, **trees).fit(kept), early, late
-    finally:
-        kept.unpersist()
+    return boosting.fit(early, features, {**TREES, **trees}), early, late
 
 
-def predict(model: PipelineModel, df: DataFrame, features: list[str]) -> DataFrame:
-    """Rows plus prediction, prob_down and prob_up."""
+def predict(model: BoostedTrees | PipelineModel, df: DataFrame, features: list[str]) -> DataFrame:
+    """Rows plus prediction, prob_down and prob_up, and rawPrediction, the logit of UP (of a pipeline: its own)."""
+    if isinstance(model, BoostedTrees):
+        importable(df.sparkSession)
+        up = 1.0 / (1.0 + F.exp(-F.col("rawPrediction")))
+        scored = df.select("*", model.margin().alias("rawPrediction")).select("*", up.alias("prob_up"))
+        return scored.select(
+            *df.columns, (F.col("prob_up") > 0.5).cast("int").alias("prediction"), (1.0 - F.col("prob_up")).alias("prob_down"), "prob_up", "rawPrediction",
+        )
     as_double = [F.col(c).cast("double").alias(c) if c in features else F.col(c) for c in df.columns]
     chances = vector_to_array("probability")
     return model.transform(df.select(*as_double)).select(
@@ -160,14 +164,31 @@ def binary_report(predictions: DataFrame) -> DataFrame:
     return cells.select(F.inline(F.array(report("DOWN", 0), report("UP", 1))))
 
 
-def roc_auc(predictions: DataFrame) -> float:
-    evaluator = BinaryClassificationEvaluator(labelCol="target", rawPredictionCol="rawPrediction")
-    return evaluator.evaluate(predictions)
+def roc_auc_row(predictions: DataFrame, score: str = "prob_up", target: str = "target") -> DataFrame:
+    """One row, ``roc_auc``: the chance that a positive row scores above a negative one, ties count half.
+
+    Exact: rows are counted by score, the scores ranged over partitions, and each range adds the negatives of the
+    ranges before it, so no task sorts all scores. NULL without rows of both kinds; rows without a score or target don't count.
+    """
+    known = predictions.where(F.col(score).isNotNull() & F.col(target).isin(0, 1))
+    up = F.col(target) == 1
+    counts = known.groupBy(F.col(score).cast("double").alias("s")).agg(F.count(F.when(up, 1)).alias("p"), F.count(F.when(~up, 1)).alias("n"))
+    ranged = kept(counts.repartitionByRange("s").withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("m")).select("part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"))
+    below = F.sum("n").over(Window.partitionBy("part").orderBy("s")) - F.col("n") / 2 + F.col("before")
+    pairs = ranged.join(parts, "part").select("p", "n", (F.col("p") * below).alias("above"))
+    return pairs.agg(F.try_divide(F.sum("above"), F.sum("p") * F.sum("n").cast("double")).alias("roc_auc"))
+
+
+def roc_auc(predictions: DataFrame, score: str = "prob_up") -> float | None:
+    """The value of ``roc_auc_row``."""
+    return roc_auc_row(predictions, score).first()[0]
 
 
-def feature_importance(model: PipelineModel, features: list[str], top_n: int = 15) -> DataFrame:
+def feature_importance(model: BoostedTrees | PipelineModel, features: list[str], top_n: int = 15) -> DataFrame:
     """The ``top_n`` most important features, descending (one value per feature, not per row)."""
-    weights = model.stages[-1].featureImportances.toArray()
+    weights = model.importances() if isinstance(model, BoostedTrees) else model.stages[-1].featureImportances.toArray()
     rows = [(name, float(w)) for name, w in zip(features, weights)]
     spark = SparkSession.active()
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(
@@ -175,7 +196,7 @@ def feature_importance(model: PipelineModel, features: list[str], top_n: int = 1
     ).limit(top_n)
 
 
-def predict_latest(model: PipelineModel, df: DataFrame, features: list[str]) -> DataFrame:
+def predict_latest(model: BoostedTrees | PipelineModel, df: DataFrame, features: list[str]) -> DataFrame:
     """Direction of each symbol from its last row: date, prediction, confidence, probabilities."""
     scored = predict(model, latest_rows(df), features)
     up = F.col("prediction") == 1

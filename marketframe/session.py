@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def spark_session(app: str = "marketframe", master: str | None = None, **conf: str) -> SparkSession:
@@ -52,3 +55,29 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
     if named and not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return context.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written once and read back: computed once, cheap to read again, and safe from lost executors.
+
+    The table lies in the folder that ``spark.checkpoint.dir`` names. Where none is named a local master gets a
+    temporary folder; other masters are refused, since their executors share no such folder.
+    """
+    spark = df.sparkSession
+    folder = checkpoint_dir(spark)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = checkpoint_dir(spark, tempfile.mkdtemp(prefix="checkpoints-"))
+    path = f"{folder.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package where the driver found it, whatever folder they start in."""
+    root = str(Path(__file__).resolve().parents[1])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    return spark

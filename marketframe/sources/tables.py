@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marketframe.functions.scalars import parse_day
 from marketframe.operators.bars import normalize_columns
+from marketframe.operators.boosting import BoostedTrees
 from marketframe.operators.headlines import headline_text
 from marketframe.operators.skew import first_per_group
 
@@ -109,9 +110,17 @@ def write_features(features: DataFrame, path: str, mode: str = "overwrite") -> N
     sliced.write.mode(mode).parquet(path)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: BoostedTrees | PipelineModel, path: str) -> None:
+    if isinstance(model, BoostedTrees):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
+def load_model(path: str) -> BoostedTrees | PipelineModel:
+    """What ``save_model`` wrote: a pipeline has a metadata folder, boosted trees a table of nodes."""
+    spark = SparkSession.active()
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/nodes")
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return BoostedTrees.load(path)
     return PipelineModel.load(path)

@@ -99,13 +99,19 @@ class HatTrie:
         for r, k in held:
             tree.setdefault(r >> shift, {"burst": 0})[r & low] = k
 
-    def _rows(self, tree: dict, words: int, above: int = 0):
-        """The rests below in order, with their counts."""
-        if tree["burst"]:
-            for w in sorted(k for k in tree if k != "burst"):
-                yield from self._rows(tree[w], words - 1, above << BITS | w)
-        else:
-            yield from ((above << BITS * words | r, tree[r]) for r in sorted(k for k in tree if k != "burst"))
+    def _rows(self, tree: dict, words: int, above: int = 0) -> tuple[list[int], list[int]]:
+        """The rests below in order, and their counts. The tree is used up."""
+        if not tree.pop("burst"):
+            rests = sorted(tree)
+            times = list(map(tree.__getitem__, rests))
+            high = above << BITS * words
+            return ([high | r for r in rests] if above else rests), times
+        rests, times = [], []
+        for w in sorted(tree):
+            r, t = self._rows(tree[w], words - 1, above << BITS | w)
+            rests += r
+            times += t
+        return rests, times
 
     def full(self) -> bool:
         return self.total > self.room
@@ -115,9 +121,9 @@ class HatTrie:
         for w in sorted(self.size, key=lambda w: (-self.size[w], w)):
             if self.total <= keep and keep:
                 break
-            rows = list(self._rows(self.top.pop(w), self.length - 1))
+            rests, times = self._rows(self.top.pop(w), self.length - 1)
             self.total -= self.size.pop(w)
-            yield w, [r for r, _ in rows], [k for _, k in rows]
+            yield w, rests, times
 
 
 def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
@@ -152,7 +158,7 @@ def lots(langs: list[str], texts: list[str], size: int):
 
 def counted(rows: DataFrame, length: int, sieve: Sieve | None, burst: int = BURST, room: int = ROOM, lot: int = LOT) -> DataFrame:
     """lang, phrase, f of all phrases of so many words whose shorter ones pass the sieve, in rows lang, text."""
-    names = ["lang", "phrase", "prefix", "f"]
+    names = ["lang", "phrase", "f"]
 
     def run(batches):
         tries: dict[str, HatTrie] = {}
@@ -161,18 +167,26 @@ def counted(rows: DataFrame, length: int, sieve: Sieve | None, burst: int = BURS
 
         def runs(lang: str, keep: int):
             words, mask = spelt[lang], (1 << BITS) - 1
-            phrases, prefixes, times = [], [], []
+            phrases, times = [], []
+
+            def batch():
+                return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(times, pa.int64())], names)
+
             for first, rests, n in tries[lang].spill(keep):
-                for r in rests:
-                    tail = [words[r >> BITS * k & mask] for k in range(length - 2, -1, -1)]
-                    prefix = " ".join([words[first], *tail[:-1]])
-                    prefixes.append(prefix)
-                    phrases.append(f"{prefix} {tail[-1]}" if tail else prefix)
+                head = words[first]
+                if length == 1:
+                    phrases.append(head)
+                elif length == 2:
+                    head += " "
+                    phrases += [head + words[r] for r in rests]
+                else:
+                    shifts = range(BITS * (length - 2), -1, -BITS)
+                    phrases += [" ".join([head, *[words[r >> k & mask] for k in shifts]]) for r in rests]
                 times += n
                 if len(phrases) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases)), pa.array(phrases), pa.array(prefixes), pa.array(times, pa.int64())], names)
-                    phrases, prefixes, times = [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(prefixes, pa.string()), pa.array(times, pa.int64())], names)
+                    yield batch()
+                    phrases, times = [], []
+            yield batch()
 
         for b in batches:
             for lang, data in lots(b.column(0).to_pylist(), b.column(1).to_pylist(), lot):
@@ -224,7 +238,8 @@ def counted(rows: DataFrame, length: int, sieve: Sieve | None, burst: int = BURS
 
     # A hot prefix is split by a hash of the whole phrase; a phrase stays in one partition.
     salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).alias("salt")
-    found = rows.mapInArrow(run, "lang string, phrase string, prefix string, f long").select("*", salt)
+    prefix = F.substring_index("phrase", " ", max(1, length - 1)).alias("prefix")
+    found = rows.mapInArrow(run, "lang string, phrase string, f long").select("*", prefix, salt)
     merged = found.repartition("lang", "prefix", "salt").groupBy("lang", "prefix", "salt", "phrase").agg(F.sum("f").alias("f"))
     return merged.select("lang", "phrase", "f")
 

@@ -64,12 +64,13 @@ WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS body FROM documents),
   levels AS (SELECT *, max(CASE WHEN (total - bound_before) / (all_w - w_before) <= reach THEN (total - bound_before) / (all_w - w_before) END) OVER () AS level FROM prefix),
   targets AS (SELECT source, source_size, CASE WHEN level IS NULL OR reach <= level THEN bound ELSE level * w END AS target FROM levels),
   plan AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), {int(mixing.MOST_EPOCHS)})::BIGINT ELSE 0 END AS epochs FROM targets),
-  sums AS (SELECT k.doc_id, k.size, k.source, p.source_size, p.target, p.epochs, k.k,
-    sum(k.size) OVER (PARTITION BY k.source ORDER BY k.k) - k.size / 2 <= p.target - p.epochs * p.source_size AS fits
-    FROM keyed k JOIN plan p ON k.source IS NOT DISTINCT FROM p.source),
-  ends AS (SELECT *, max(CASE WHEN fits THEN k END) OVER (PARTITION BY source) AS last_k FROM sums)
-SELECT doc_id, size::BIGINT AS size, source_size, target, epochs + CASE WHEN k <= last_k THEN 1 ELSE 0 END AS times,
-  (epochs + CASE WHEN k <= last_k THEN 1 ELSE 0 END) * size AS taken FROM ends
+  rests AS (SELECT *, target - epochs * source_size AS rest FROM plan),
+  sums AS (SELECT k.doc_id, k.size, k.source, p.source_size, p.target, p.epochs, p.rest, row_number() OVER by_key AS place,
+    sum(k.size) OVER (by_key ROWS UNBOUNDED PRECEDING) - k.size / 2 <= p.rest AND p.rest > 0 AS fits
+    FROM keyed k JOIN rests p ON k.source IS NOT DISTINCT FROM p.source
+    WINDOW by_key AS (PARTITION BY k.source ORDER BY k.k)),
+  ends AS (SELECT *, epochs + CASE WHEN place <= max(CASE WHEN fits THEN place END) OVER (PARTITION BY source) THEN 1 ELSE 0 END AS times FROM sums)
+SELECT doc_id, size::BIGINT AS size, source_size, target, times * size AS taken, times FROM ends
 """
 
 

@@ -68,8 +68,32 @@ def test_heavier_documents_are_likelier(spark):
     assert once[1] > 1.3 * once[0]
 
 
+EQUAL = [(None, "five words in each row", "hot")] * 1000
+
+
+def test_equal_rows_are_cut_where_the_budget_ends(spark):
+    rows = EQUAL + [(i, "some words of another source", f"s{i % 2}") for i in range(1500)]
+    got = [r for r in mixing.mix(odd(spark, rows).repartition(6)).collect() if r.doc_id is None]
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 2.5 and 0 < got[0].target % got[0].source_size
+    out = mixing.mixed(odd(spark, rows).repartition(6))
+    assert out.where("doc_id is null").count() == sum(r.times for r in got)
+
+
+def test_empty_texts_go_no_further_than_whole_epochs(spark):
+    rows = [(i, "", "s") for i in range(20)] + [(99, "two words", "s")] + [(100 + i, "many words here " * 9, "t") for i in range(50)]
+    got = [r for r in mixing.mix(odd(spark, rows)).collect() if r.source_size == 2]
+    assert got[0].target == 4 and {r.times for r in got} == {2}
+
+
+def test_no_slice_is_hot_at_any_weight(spark):
+    texts = {0: "plain words of prose", 1: "1234567890 !!!! ####", 2: "ten words, 12 of them marks (or digits) and so on"}
+    keyed = mixing.keyed(odd(spark, [(i, texts[i % 3], "s") for i in range(30000)]), "doc_id", "text", "source")
+    sizes = keyed.groupBy("text", "__slice").count().groupBy("text").agg({"count": "max"}).collect()
+    assert max(r["max(count)"] for r in sizes) < 3 * 10 * 10000 / mixing.SLICES
+
+
 def test_sql(spark):
-    rows = rows_of(400) + [(i + 1000 if i is not None else None, t, s) for i, t, s in TEXTS]
+    rows = rows_of(400) + [(i + 1000 if i is not None else None, t, s) for i, t, s in TEXTS] + EQUAL[:50]
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)

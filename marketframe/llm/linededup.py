@@ -81,12 +81,8 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(a: list[int], b: list[int], words: list[int], least_words: int = LEAST_WORDS) -> list[int]:
-    """Places in ``a`` (the later document) of all stretches with at least so many words that ``b`` holds too.
-
-    Aligned blocks come first; a block goes on while both documents go on. If that leaves lines,
-    every stretch of ``a`` is looked for anywhere in ``b``.
-    """
+def aligned_blocks(a: list[int], b: list[int], words: list[int], least_words: int = LEAST_WORDS) -> list[int]:
+    """Places in ``a`` (the later document) of the aligned blocks with at least so many words."""
     out, block, size, last = [], [], 0, None
     for i, j in patience(a, b):
         if last is None or (i, j) != (last[0] + 1, last[1] + 1):
@@ -96,9 +92,48 @@ def common_blocks(a: list[int], b: list[int], words: list[int], least_words: int
         block.append(i)
         size += words[i]
         last = (i, j)
-    if size >= least_words:
-        out += block
-    return out if len(out) == len(a) else held_stretches(a, b, words, least_words)
+    return out + block if size >= least_words else out
+
+
+def left_spans(a: list[int], b: list[int], words: list[int], aligned: list[int], least_words: int = LEAST_WORDS) -> list[tuple[int, int]]:
+    """The stretches of ``a`` in which lines that ``b`` holds aren't in an aligned block.
+
+    Each goes on over its neighbours until these have ``least_words`` words: as far as
+    the shortest stretch that covers one of its lines can reach.
+    """
+    gone, there, out = set(aligned), set(b), []
+    i = 0
+    while i < len(a):
+        if i in gone or a[i] not in there:
+            i += 1
+            continue
+        start = end = i
+        while end < len(a) and end not in gone and a[end] in there:
+            end += 1
+        i = end
+        size = 0
+        while start and size < least_words and a[start - 1] in there:
+            start -= 1
+            size += words[start]
+        size = 0
+        while end < len(a) and size < least_words and a[end] in there:
+            size += words[end]
+            end += 1
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], end)
+        else:
+            out.append((start, end))
+    return out
+
+
+def common_blocks(a: list[int], b: list[int], words: list[int], least_words: int = LEAST_WORDS) -> list[int]:
+    """Places in ``a`` (the later document) of all stretches with at least so many words that ``b`` holds too.
+
+    The aligned blocks go. Only in what they leave are repeated or reordered stretches looked for, anywhere in ``b``.
+    """
+    out = aligned_blocks(a, b, words, least_words)
+    spans = left_spans(a, b, words, out, least_words)
+    return sorted({*out, *held_stretches(a, b, words, least_words, spans)}) if spans else out
 
 
 def automaton(b: list[int | None]) -> tuple[list[dict], list[int], list[int]]:
@@ -130,12 +165,16 @@ def automaton(b: list[int | None]) -> tuple[list[dict], list[int], list[int]]:
     return following, link, longest
 
 
-def held_stretches(a: list[int], b: list[int], words: list[int], least_words: int = LEAST_WORDS) -> list[int]:
+def held_stretches(
+    a: list[int], b: list[int], words: list[int], least_words: int = LEAST_WORDS, spans: list[tuple[int, int]] | None = None
+) -> list[int]:
     """Places in ``a`` of all stretches with at least so many words that occur anywhere in ``b``.
 
-    For each end the longest such stretch is known from the automaton, in steps linear in both.
+    Stretches lie inside one of ``spans`` (start, end), in order, or anywhere if none are given. For each end
+    the longest such stretch is known from the automaton, in steps linear in both.
     """
-    in_a, parts = set(a), []
+    spans = [(0, len(a))] if spans is None else spans
+    in_a, parts = {x for start, end in spans for x in a[start:end]}, []
     for x in b:
         if x in in_a:
             parts.append(x)
@@ -143,15 +182,17 @@ def held_stretches(a: list[int], b: list[int], words: list[int], least_words: in
             parts.append(None)  # lines that aren't in ``a`` part what is
     following, link, longest = automaton(parts)
     before = [0, *accumulate(words)]
-    starts, state, n = [len(a)] * len(a), 0, 0
-    for i, x in enumerate(a):
-        while state and x not in following[state]:
-            state = link[state]
-            n = longest[state]
-        if x in following[state]:
-            state, n = following[state][x], n + 1
-        if before[i + 1] - before[i + 1 - n] >= least_words:
-            starts[i] = i + 1 - n
+    starts = [len(a)] * len(a)
+    for first, end in spans:
+        state, n = 0, 0
+        for i in range(first, end):
+            while state and a[i] not in following[state]:
+                state = link[state]
+                n = longest[state]
+            if a[i] in following[state]:
+                state, n = following[state][a[i]], n + 1
+            if before[i + 1] - before[i + 1 - n] >= least_words:
+                starts[i] = i + 1 - n
     out, start = [], len(a)
     for i in range(len(a) - 1, -1, -1):
         start = min(start, starts[i])

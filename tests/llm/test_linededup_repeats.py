@@ -63,3 +63,29 @@ def test_stretches_equal_all_pairs_of_places():
             if sum(words[i:j]) >= 20 and any(a[i:j] == b[k : k + j - i] for k in range(len(b))):
                 want |= set(range(i, j))
         assert linededup.common_blocks(a, b, words) == sorted(want)
+
+
+def test_the_automaton_gets_only_what_alignment_leaves(monkeypatch):
+    handed = []
+    held = linededup.held_stretches
+    monkeypatch.setattr(linededup, "held_stretches", lambda a, b, w, n, spans: handed.append(sum(e - s for s, e in spans)) or held(a, b, w, n, spans))
+    a, words = list(range(1000)), [7] * 1003
+    assert linededup.common_blocks(a, a, words) == a and not handed  # aligned whole
+    assert len(linededup.common_blocks([-1, *a, -2], a, words)) == 1000 and not handed  # what is left isn't held
+    got = linededup.common_blocks([*a, 500, 501, 502], a, words)
+    assert len(got) == 1003 and handed == [6]  # a repeated passage and its neighbours
+    monkeypatch.setattr(linededup, "patience", lambda a, b: [])
+    assert linededup.common_blocks([*a, 500, 501, 502], a, words) == got and handed[-1] == 1003
+
+
+def test_alignment_first_gives_what_all_stretches_give():
+    rng = random.Random(11)
+    for _ in range(20000):
+        kinds = rng.randint(2, 12)
+        a, b = ([rng.randrange(kinds) for _ in range(rng.randint(0, 16))] for _ in range(2))
+        if rng.random() < 0.5:
+            at = rng.randint(0, len(b))
+            a = [*a[:4], *b[at:], *a[4:], *b[:at]]
+        size = [rng.choice([1, 4, 7, 12, 22]) for _ in range(kinds)]
+        words = [size[x] for x in a]
+        assert linededup.common_blocks(a, b, words) == linededup.held_stretches(a, b, words)

@@ -4,8 +4,9 @@ A text is cut into pieces that together are the text: sentences, long ones into
 single words near its start, so that short texts have several pieces too.
 A paragraph is the pieces up to a line's end; a section is the paragraphs up to one whose hash
 is divisible by 4, so an edit moves no border but its own. A node's hash is that of its
-children's hashes. Equal roots mean equal texts; where roots differ, equal sections and
-paragraphs are skipped and the differing leaves locate the edit.
+children's hashes, 128 bits each up to the root. Equal roots mean equal texts; where roots differ,
+equal sections and paragraphs count whole and are skipped, and the leaves of the rest locate the
+edit. A fingerprint holds the root's hash whole and the first digits of the other nodes'.
 
 ``neighbour_report`` sets each document beside the next one in descending order of ids. Sorting
 the texts by ranges of ids puts neighbours side by side; each range also gets the first text
@@ -52,60 +53,94 @@ def leaf_pieces(text: str) -> list[str]:
     return out
 
 
-def fingerprint(text: str) -> tuple[str, list[str]]:
-    """A text's fingerprint ``root;section:paragraph=leaves,...;section:...`` and its leaves in order."""
-    digest = xxhash.xxh64_hexdigest
-    sections, section, paragraph, leaves = [], [], [], []
-    at_root = xxhash.xxh128(text.encode())
+def tree(text: str) -> tuple[str, list]:
+    """A text's root and its sections: (hash, number of leaves, paragraphs), a paragraph being (hash, leaves)."""
+    digest = xxhash.xxh128_digest
+    sections, section, paragraph = [], [], []
 
     def close_paragraph() -> bool:
-        node = digest("".join(paragraph))[:NODE]
-        section.append((node, "".join(paragraph)))
+        node = digest(b"".join(paragraph))
+        section.append((node, [x.hex()[:LEAF] for x in paragraph]))
         paragraph.clear()
-        return int(node[-1], 16) % 4 == 0
+        return node[-1] % 4 == 0
 
     def close_section() -> None:
-        node = digest("".join(n for n, _ in section))[:NODE]
-        sections.append(f"{node}:{','.join(f'{n}={x}' for n, x in section)}")
+        node = digest(b"".join([n for n, _ in section]))
+        sections.append((node, sum(len(x) for _, x in section), [(n.hex()[:NODE], x) for n, x in section]))
         section.clear()
 
     for piece in leaf_pieces(text):
-        leaf = digest(piece)[:LEAF]
-        paragraph.append(leaf)
-        leaves.append(leaf)
+        paragraph.append(digest(piece.encode()))
         if piece[-1] == "\n" and close_paragraph():
             close_section()
     if paragraph:
         close_paragraph()
     if section:
         close_section()
-    return ";".join([at_root.hexdigest(), *sections]), leaves
+    root = digest(b"".join([n for n, _, _ in sections])).hex()
+    return root, [(n.hex()[:NODE], size, parts) for n, size, parts in sections]
 
 
-def parse(fp: str) -> list[tuple[str, list[tuple[str, list[str]]]]]:
-    """Sections of a fingerprint: (hash, paragraphs), a paragraph being (hash, leaves)."""
+def spell(root: str, sections: list) -> str:
+    """The fingerprint ``root;section:paragraph=leaves,...;section:...`` of a tree."""
+    return ";".join([root, *[f"{node}:{','.join([f'{n}={"".join(x)}' for n, x in parts])}" for node, _, parts in sections]])
+
+
+def fingerprint(text: str) -> str:
+    return spell(*tree(text))
+
+
+def parse(fp: str) -> tuple[str, list]:
+    """The tree (see ``tree``) of a fingerprint."""
+    root, *rest = fp.split(";")
     out = []
-    for section in fp.split(";")[1:]:
-        node, _, rest = section.partition(":")
-        paragraphs = [p.split("=") for p in rest.split(",")]
-        out.append((node, [(h, [x[i : i + LEAF] for i in range(0, len(x), LEAF)]) for h, x in paragraphs]))
-    return out
+    for section in rest:
+        node, _, paragraphs = section.partition(":")
+        parts = [p.split("=") for p in paragraphs.split(",")]
+        parts = [(h, [x[i : i + LEAF] for i in range(0, len(x), LEAF)]) for h, x in parts]
+        out.append((node, sum(len(x) for _, x in parts), parts))
+    return root, out
 
 
 def leaves_of(fp: str) -> list[str]:
-    return [leaf for _, paragraphs in parse(fp) for _, leaves in paragraphs for leaf in leaves]
+    return [leaf for _, _, parts in parse(fp)[1] for _, leaves in parts for leaf in leaves]
+
 
+def unmatched(a: list[tuple], b: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """The nodes of each side that the other doesn't have, as often as they are missing there."""
+    in_a, in_b = Counter(x[0] for x in a), Counter(x[0] for x in b)
 
-def dice(a: list[str], b: list[str]) -> float:
-    """Twice the leaves in common (as often as in both) by all leaves; 1 for two empty texts."""
-    if not a and not b:
+    def rest(nodes: list[tuple], more: Counter) -> list[tuple]:
+        out = []
+        for x in nodes:
+            if more[x[0]] > 0:
+                more[x[0]] -= 1
+                out.append(x)
+        return out
+
+    return rest(a, in_a - in_b), rest(b, in_b - in_a)
+
+
+def tree_likeness(a: tuple[str, list], b: tuple[str, list]) -> float:
+    """How like two trees are, from 0 to 1: twice the leaves in common (as often as in both) by all leaves.
+
+    Equal roots are 1, whatever is below. Equal sections count whole, then equal paragraphs of the
+    other sections; only leaves of paragraphs that the other side doesn't have are looked at.
+    """
+    if a[0] == b[0]:
         return 1.0
-    return 2.0 * (Counter(a) & Counter(b)).total() / (len(a) + len(b))
+    count = lambda sections: sum(size for _, size, _ in sections)
+    every = count(a[1]) + count(b[1])
+    x, y = unmatched(a[1], b[1])
+    x, y = unmatched([p for _, _, parts in x for p in parts], [p for _, _, parts in y for p in parts])
+    x, y = ([leaf for _, leaves in side for leaf in leaves] for side in (x, y))
+    # What isn't looked at is in common: equally many leaves on both sides.
+    return (every - len(x) - len(y) + 2 * (Counter(x) & Counter(y)).total()) / every
 
 
 def likeness(a: str, b: str) -> float:
-    """How like two fingerprints are, from 0 to 1: 1 at equal roots, else the share of leaves in common."""
-    return 1.0 if a.split(";")[0] == b.split(";")[0] else dice(leaves_of(a), leaves_of(b))
+    """``tree_likeness`` of two fingerprints."""
+    return 1.0 if a.split(";", 1)[0] == b.split(";", 1)[0] else tree_likeness(parse(a), parse(b))
 
 
 def changed(a: str, b: str) -> list[int]:
@@ -114,11 +149,11 @@ def changed(a: str, b: str) -> list[int]:
     Sections and paragraphs that are equal are skipped whole.
     """
     sections, paragraphs = Counter(), Counter()
-    for node, parts in parse(b):
+    for node, _, parts in parse(b)[1]:
         sections[node] += 1
         paragraphs.update(h for h, _ in parts)
     other, at, out = Counter(leaves_of(b)), 0, []
-    for node, parts in parse(a):
+    for node, _, parts in parse(a)[1]:
         same = sections[node] > 0
         sections[node] -= same
         for h, leaves in parts:
@@ -137,7 +172,7 @@ def add_fingerprints(docs: DataFrame, text_col: str = "text", name: str = "finge
 
     @F.pandas_udf("string")
     def fp(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: fingerprint(t)[0])
+        return texts.map(fingerprint)
 
     return docs.withColumn(name, fp(text_or_empty(text_col)))
 
@@ -198,16 +233,15 @@ def neighbour_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for b in batches:
             out = []
             for tail, doc_id, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                fp, leaves = fingerprint(text)
+                whole = tree(text)
                 if held is not None:
-                    h_id, h_text, h_fp, h_leaves = held
+                    h_id, h_text, h_tree = held
                     third = len(h_text) // 3
                     edited = h_text[: len(h_text) - third] + text[:third]
-                    e_fp, e_leaves = fingerprint(edited)
+                    e_tree = tree(edited)
                     sha = hashlib.sha256(edited.encode()).hexdigest()
-                    near = 1.0 if e_fp == h_fp else dice(h_leaves, e_leaves)
-                    out.append((h_id, len(h_text), sha, h_fp, e_fp, near, 1.0 if fp == h_fp else dice(h_leaves, leaves)))
-                held = None if tail else (doc_id, text, fp, leaves)
+                    out.append((h_id, len(h_text), sha, spell(*h_tree), spell(*e_tree), tree_likeness(h_tree, e_tree), tree_likeness(h_tree, whole)))
+                held = None if tail else (doc_id, text, whole)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
 

@@ -1,12 +1,20 @@
 import hashlib
+import itertools
 from collections import Counter
 
 import numpy as np
+import xxhash
 from odd import LONG, TEXTS, empty, odd
 
 from marketframe.llm import merkle
 
 
+def flat(t, u):
+    """Twice the pieces in common by all pieces, without any tree."""
+    a, b = Counter(merkle.leaf_pieces(t)), Counter(merkle.leaf_pieces(u))
+    return 1.0 if t == u else 2 * (a & b).total() / (a.total() + b.total())
+
+
 def brute(rows):
     """Every document beside the next one in descending ids; ids must be distinct and not null."""
     order = sorted(rows, key=lambda r: -r[0])
@@ -14,22 +22,53 @@ def brute(rows):
     for (i, t, _), (_, u, _) in zip(order, [*order[1:], order[0]], strict=True):
         t, u = t or "", u or ""
         edited = t[: len(t) - len(t) // 3] + u[: len(t) // 3]
-        fp, e, n = (merkle.fingerprint(x)[0] for x in (t, edited, u))
-        out[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), fp, e, merkle.likeness(fp, e), merkle.likeness(fp, n))
+        out[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), merkle.fingerprint(t), merkle.fingerprint(edited), flat(t, edited), flat(t, u))
     return out
 
 
+def test_nodes_are_hashes_of_their_children():
+    """By recursion over the pieces, without the operator's own pass."""
+    h = lambda parts: xxhash.xxh128_digest(b"".join(parts))
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        text = "".join(f"line {x} of text\n" * (x % 3) + f"{x} " for x in rng.integers(0, 99, 40))
+        paragraphs, leaves = [], []
+        for piece in merkle.leaf_pieces(text):
+            leaves.append(xxhash.xxh128_digest(piece.encode()))
+            if piece.endswith("\n"):
+                paragraphs.append(h(leaves))
+                leaves = []
+        paragraphs += [h(leaves)] if leaves else []
+        ends = [k + 1 for k, p in enumerate(paragraphs) if p[-1] % 4 == 0]
+        sections = [h(paragraphs[s:e]) for s, e in itertools.pairwise(sorted({0, *ends, len(paragraphs)}))]
+        root, got = merkle.parse(merkle.fingerprint(text))
+        assert root == h(sections).hex() and [n for n, _, _ in got] == [s.hex()[: merkle.NODE] for s in sections]
+        assert merkle.spell(root, got) == merkle.fingerprint(text) and merkle.parse(merkle.fingerprint(text)) == merkle.tree(text)
+
+
+def test_equal_branches_are_skipped(monkeypatch):
+    lines = [f"line {i} says {i * i} and no more\n" for i in range(400)]
+    a = merkle.tree("".join(lines))
+    b = merkle.tree("".join(["changed words here\n" if i == 200 else x for i, x in enumerate(lines)]))
+    seen = []
+    unmatched = merkle.unmatched
+    monkeypatch.setattr(merkle, "unmatched", lambda x, y: seen.append(len(x) + len(y)) or unmatched(x, y))
+    assert 0.99 < merkle.tree_likeness(a, b) < 1 and len(seen) == 2 and seen[1] < 80  # paragraphs of the sections at the edit
+    seen.clear()
+    assert merkle.tree_likeness(a, a) == 1.0 and not seen
+
+
 def test_pieces_are_the_text_and_equal_texts_have_equal_fingerprints():
     for _, t, _ in TEXTS:
         assert "".join(merkle.leaf_pieces(t or "")) == (t or "")
-        fp, leaves = merkle.fingerprint(t or "")
-        assert merkle.leaves_of(fp) == leaves and merkle.likeness(fp, fp) == 1.0 and merkle.changed(fp, fp) == []
-    assert merkle.fingerprint("a b")[0] != merkle.fingerprint("a  b")[0]
+        fp = merkle.fingerprint(t or "")
+        assert len(merkle.leaves_of(fp)) == len(merkle.leaf_pieces(t or "")) and merkle.likeness(fp, fp) == 1.0 and merkle.changed(fp, fp) == []
+    assert merkle.fingerprint("a b") != merkle.fingerprint("a  b")
 
 
 def test_an_edit_is_located():
     edited = LONG.replace("word400 ", "another ", 1)
-    a, b = merkle.fingerprint(LONG)[0], merkle.fingerprint(edited)[0]
+    a, b = merkle.fingerprint(LONG), merkle.fingerprint(edited)
     places = merkle.changed(a, b)
     pieces = merkle.leaf_pieces(LONG)
     assert len(places) == 1 and "word400 " in pieces[places[0]] and 0.99 < merkle.likeness(a, b) < 1
@@ -49,7 +88,7 @@ def test_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(merkle, "RANGE_ROWS", 2)
     rows = merkle.neighbour_report(odd(spark)).collect()
     assert Counter(r.doc_id for r in rows) == Counter(i for i, _, _ in TEXTS)
-    assert Counter(r.fingerprint for r in rows) == Counter(merkle.fingerprint(t or "")[0] for _, t, _ in TEXTS)
+    assert Counter(r.fingerprint for r in rows) == Counter(merkle.fingerprint(t or "") for _, t, _ in TEXTS)
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
     assert merkle.neighbour_report(empty(spark)).count() == 0
     one = merkle.neighbour_report(odd(spark, [(1, "abcdef", "s")])).collect()
@@ -69,4 +108,4 @@ def test_an_id_that_a_third_of_all_rows_share_is_spread(spark, monkeypatch):
 
 def test_column(spark):
     got = merkle.add_fingerprints(odd(spark), name="fp2").collect()
-    assert all(r.fp2 == merkle.fingerprint(r.text or "")[0] for r in got)
+    assert all(r.fp2 == merkle.fingerprint(r.text or "") for r in got)

@@ -37,8 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in the sequences."""
-    return packing.pack(docs)
+    """The pieces of all documents, with their ids, and their places in the sequences."""
+    return packing.pack(docs, keep_ids=True)
 
 
 STAGES = [

@@ -15,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,10 +27,10 @@ WORDS = 4
 CLOSED = (100, 80)
 TOP = 2000
 SCALE = 2_000_000
-#: Bytes of text handled at a time, rests of a container before it bursts, rests of a trie before it spills.
+#: Bytes of text handled at a time, rests of a container before it bursts, rests that the tries of a task hold before subtrees are spilt.
 LOT = 4 << 20
 BURST = 4096
-ROOM = 1_000_000
+ROOM = 1_500_000
 BITS = 21
 SALTS = 16
 
@@ -141,12 +142,11 @@ def phrase_hashes(hashes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def lots(langs: list[str], texts: list[str], size: int):
+def lots(langs: list[str], texts: list[bytes], size: int):
     """(lang, bytes of its texts joined) in lots of about ``size`` bytes; a longer text is a lot of its own."""
     held: dict[str, tuple[list[bytes], int]] = {}
-    for lang, text in zip(langs, texts, strict=True):
+    for lang, data in zip(langs, texts, strict=True):
         parts, n = held.get(lang, ([], 0))
-        data = text.encode()
         if parts and n + len(data) > size:
             yield lang, _END.join(parts)
             parts, n = [], 0
@@ -166,30 +166,28 @@ def counted(rows: DataFrame, length: int, sieve: Sieve | None, burst: int = BURS
         spelt: dict[str, list[str]] = {}
 
         def runs(lang: str, keep: int):
-            words, mask = spelt[lang], (1 << BITS) - 1
-            phrases, times = [], []
+            words, mask = pa.array(spelt[lang], pa.string()), (1 << BITS) - 1
+            heads, sizes, rests, times = [], [], [], []
 
             def batch():
-                return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(times, pa.int64())], names)
-
-            for first, rests, n in tries[lang].spill(keep):
-                head = words[first]
-                if length == 1:
-                    phrases.append(head)
-                elif length == 2:
-                    head += " "
-                    phrases += [head + words[r] for r in rests]
-                else:
-                    shifts = range(BITS * (length - 2), -1, -BITS)
-                    phrases += [" ".join([head, *[words[r >> k & mask] for k in shifts]]) for r in rests]
+                rest = np.array(rests, np.int64)
+                numbers = [np.repeat(np.array(heads, np.int64), sizes), *[rest >> k & mask for k in range(BITS * (length - 2), -1, -BITS)]]
+                parts = [words.take(pa.array(x)) for x in numbers]
+                phrases = pc.binary_join_element_wise(*parts, " ") if length > 1 else parts[0]
+                return pa.RecordBatch.from_arrays([pa.array([lang] * len(rests), pa.string()), phrases, pa.array(times, pa.int64())], names)
+
+            for first, some, n in tries[lang].spill(keep):
+                heads.append(first)
+                sizes.append(len(some))
+                rests += some
                 times += n
-                if len(phrases) > 50_000:
+                if len(rests) > 50_000:
                     yield batch()
-                    phrases, times = [], []
+                    heads, sizes, rests, times = [], [], [], []
             yield batch()
 
         for b in batches:
-            for lang, data in lots(b.column(0).to_pylist(), b.column(1).to_pylist(), lot):
+            for lang, data in lots(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), lot):
                 words = data.translate(_BYTES).replace(_END, b" \xff ").split()
                 if not words:
                     continue
@@ -231,8 +229,10 @@ def counted(rows: DataFrame, length: int, sieve: Sieve | None, burst: int = BURS
                 first, rest = first[order], rest[order]
                 head = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (rest[1:] != rest[:-1])]))
                 trie.add(first[head], rest[head], np.diff(np.append(head, len(first))))
-                if trie.full():
-                    yield from runs(lang, room // 2)
+                # The tries of all languages share the room; the largest gives way.
+                if sum(t.total for t in tries.values()) > room:
+                    largest = max(tries, key=lambda x: tries[x].total)
+                    yield from runs(largest, max(1, tries[largest].total - room // 2))
         for lang in tries:
             yield from runs(lang, 0)
 

@@ -7,6 +7,7 @@ trading day.
 
 from __future__ import annotations
 
+from marketframe.operators.headlines import GOLD
 from marketframe.operators.memory import LAG_PERIODS, LAG_TARGETS
 from marketframe.plans import registry
 
@@ -686,30 +687,26 @@ _RETURNS = [c for c in registry.FEATURE_GROUPS["returns"] if not c.endswith("_no
 ORACLE["feature_group"] = returns(Chain(HOURLY)).out(_RETURNS)
 
 
-def _model_features() -> str:
-    c = returns(geometry(volume(Chain(HOURLY)), atr=False))
-    c = _ranked("volume", 20, 10, "vol_percentile", c)
-    c.step(body_vs_atr="NULL::DOUBLE", range_vs_atr="NULL::DOUBLE")
-    ints = ["volume_spike", "volume_extreme_spike", "volume_low", "volume_trend", "obv_above_ma",
-            "price_vol_confirm", "candle_direction"]
-    doubles = ["volume_ratio", "obv_change_5d", "obv_change_20d", "close_position", "bullish_vol_conf",
-               "bearish_vol_conf", "vol_percentile", "money_flow_ma10", "dist_to_vwap", "candle_range",
-               "body_ratio", "upper_wick_ratio", "lower_wick_ratio", "wick_imbalance", "body_position",
-               "body_midpoint_pos", "close_open_pct", "body_vs_atr", "range_vs_atr", "body_size_trend"]
-    return c.out([*doubles, *_RETURNS], ints)
-
-
-ORACLE["model_features"] = _model_features()
-PROFILED = ["ret_1d", "ret_5d", "ret_std_20d", "max_drawdown_10d", "range_pos_20"]
+_ALL, _NAMES = everything(Chain(DAILY))
+_ALL_COLUMNS = [*OHLCV, *_NAMES]
+ORACLE["model_features"] = select(_ALL, [n for n in _NAMES if n not in registry.RAW_COLUMNS])
+ORACLE["feature_cols_simple"] = returns(sr(Chain(DAILY))).out([*registry.FEATURE_GROUPS["sr_proximity"], *_RETURNS])
+ORACLE["normalize_bar_columns"] = ORACLE["bars_hourly"]
+ORACLE["bars_round_trip"] = f"""WITH {DAILY} SELECT symbol, ts, {', '.join(r6(c) for c in OHLCV)} FROM bars
+    WHERE ts >= (SELECT max(ts) FROM bars) - INTERVAL 2 MONTH"""
+ORACLE["features_round_trip"] = ORACLE["sr_proximity"]
+ORACLE["merged_bars"] = f"""WITH {DAILY} SELECT symbol, ts, {', '.join(r6(c) for c in OHLCV if c not in ('close', 'volume'))},
+    {r6("close + CASE WHEN ts >= DATE '1996-10-15' THEN 1 ELSE 0 END", 'close')}, {r6('volume')} FROM bars"""
 
 
 def _profile() -> str:
-    c = returns(sr(Chain(DAILY)))
+    """One row per column; quartiles by the engine's own interpolation."""
+    shares = {"q25": 0.25, "median": 0.5, "q75": 0.75}
     one = lambda x: (
-        f"SELECT '{x}' AS feature, count(*) - count({x}) AS n_missing, CAST(0 AS BIGINT) AS n_infinite, "
-        f"{r6(f'min({x})', 'min')}, {r6(f'avg({x})', 'mean')}, {r6(f'max({x})', 'max')}, "
-        f"{r6(f'stddev_samp({x})', 'std')} FROM {c.last}")
-    return c.sql(" UNION ALL ".join(one(x) for x in PROFILED))
+        f"SELECT '{x}' AS feature, count(*) - count({x}) AS n_missing, count(*) FILTER (isinf({x}::DOUBLE)) AS n_infinite, "
+        f"{r6(f'min({x})', 'min')}, {', '.join(r6(f'quantile_cont({x}::DOUBLE, {q})', n) for n, q in shares.items())}, "
+        f"{r6(f'max({x})', 'max')}, {r6(f'avg({x})', 'mean')}, {r6(f'stddev_samp({x})', 'std')} FROM {_ALL.last}")
+    return _ALL.sql(" UNION ALL ".join(one(x) for x in _ALL_COLUMNS))
 
 
 ORACLE["feature_profile"] = _profile()
@@ -717,7 +714,8 @@ ORACLE["feature_profile"] = _profile()
 
 def _correlation() -> str:
     c = returns(sr(Chain(DAILY)))
-    pairs = [(a, b) for i, a in enumerate(PROFILED) for b in PROFILED[i:]]
+    names = [*registry.FEATURE_GROUPS["sr_proximity"], *_RETURNS]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     return c.sql(" UNION ALL ".join(
         f"SELECT '{a}' AS a, '{b}' AS b, round_even(corr({a}, {b}) * 1000, 0) / 1000 + 0.0 AS corr FROM {c.last}"
         for a, b in pairs))
@@ -730,14 +728,13 @@ CUT = """cut AS (SELECT t FROM (SELECT t, row_number() OVER (ORDER BY t) - 1 AS
 
 
 def _consistency() -> str:
-    c = returns(sr(Chain(DAILY, CUT)))
-    share = lambda x, op: f"(SELECT avg({flag(f'{x} IS NULL')}) FROM {c.last} WHERE ts {op} (SELECT t FROM cut))"
-    rows = []
-    for x in PROFILED:
-        late = "NULL::DOUBLE" if x == "ret_5d" else share(x, ">=")
-        rows.append(f"SELECT '{x}' AS feature, 1 AS in_train, {0 if x == 'ret_5d' else 1} AS in_test, "
-                    f"{r6(share(x, '<'), 'train_missing')}, {r6(late, 'test_missing')}")
-    return c.sql(" UNION ALL ".join(rows))
+    c, names = everything(Chain(DAILY, CUT))
+    c.add(f"SELECT *, ts < (SELECT t FROM cut) AS early FROM {c.last}")
+    share = lambda x, part: f"avg({flag(f'{x} IS NULL')}) FILTER ({part})"
+    return c.sql(" UNION ALL ".join(
+        f"SELECT '{x}' AS feature, 1 AS in_train, {0 if x == 'ret_5d' else 1} AS in_test, {r6(share(x, 'early'), 'train_missing')}, "
+        f"{r6('NULL::DOUBLE' if x == 'ret_5d' else share(x, 'NOT early'), 'test_missing')} FROM {c.last}"
+        for x in [*OHLCV, *names]))
 
 
 ORACLE["feature_consistency"] = _consistency()
@@ -807,6 +804,16 @@ ORACLE["align_next_trading_day"] = f"""WITH {ARTICLES}, {CALENDAR}, {aligned('ar
 _SCORES = ", ".join(r6(c) for c in ("score", "positive", "negative", "neutral"))
 ORACLE["score_articles"] = f"WITH {ARTICLES}, {TEXTS}, {SCORED} SELECT symbol, seq, {_SCORES}, label FROM scored"
 
+TIMED = f"""{ARTICLES}, timed AS (SELECT symbol, seq, CAST(date AS TIMESTAMP) + to_seconds((seq * 7919) % 86400) AS at FROM articles)"""
+ORACLE["asof_next_bar"] = f"""WITH {TIMED}, {HOURLY} SELECT a.symbol, a.seq, a.at, b.ts, {r6('b.open', 'open')}, {r6('b.close', 'close')}
+    FROM timed a ASOF JOIN bars b ON a.symbol = b.symbol AND a.at <= b.ts WHERE b.ts <= a.at + INTERVAL 2 DAY"""
+ORACLE["asof_last_bar"] = f"""WITH {TIMED}, {HOURLY} SELECT a.symbol, a.seq, a.at, b.ts AS bar_ts, {r6('b.close', 'bar_close')}
+    FROM timed a ASOF LEFT JOIN bars b ON a.symbol = b.symbol AND a.at >= b.ts"""
+ORACLE["score_store"] = f"""WITH {ARTICLES}, {TEXTS}, keys AS (SELECT md5(lower({strip('text')})) AS k, bool_or(symbol <> 'view') AS known
+    FROM texts WHERE length({strip('text')}) >= 10 GROUP BY 1),
+    runs AS (SELECT 2 AS run, count(*) AS n_texts, count(*) FILTER (known) AS hits FROM keys UNION ALL SELECT 3, count(*), count(*) FROM keys)
+    SELECT run, n_texts, hits, n_texts - hits AS misses, {r6('hits / n_texts', 'hit_rate')} FROM runs"""
+
 DAY_COLUMNS = ["sentiment_mean", "sentiment_max", "sentiment_min", "sentiment_std", "sentiment_momentum",
                "article_count", "positive_ratio", "confidence_mean"]
 NEWS = f"""{ARTICLES}, {TEXTS}, {SCORED}, {CALENDAR}, {aligned('scored')},
@@ -937,6 +944,28 @@ ORACLE["class_distribution"] = f"""WITH {LABELLED} SELECT label,
     {r6('count(*) * 100.0 / sum(count(*)) OVER ()', 'pct')} FROM labelled GROUP BY label"""
 ORACLE["oversample_gold"] = f"""WITH {LABELLED} SELECT seq, text, label, 'gold' AS source, copy FROM labelled,
     (VALUES (1), (2), (3)) c(copy) WHERE label <> 2"""
+_LIST = ", ".join(f"('{x}', {label})" for x, label in GOLD)
+DATASET = f"""{FEED}, {CHANCES.replace('SOURCE', 'feed')}, firsts AS (SELECT * FROM guessed
+    QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq) = 1), weak AS (SELECT text, prediction AS label,
+    {r6(round4('greatest(p, n, u)'), 'confidence')}, 'auto' AS source, k FROM firsts WHERE greatest(p, n, u) >= 0.65),
+    gold AS (SELECT text, label, NULL::DOUBLE AS confidence, 'gold' AS source, md5(lower(text)) AS k FROM (VALUES {_LIST}) g(text, label)),
+    thrice AS (SELECT *, 1 AS copy FROM weak UNION ALL SELECT *, unnest([1, 2, 3]) FROM gold),
+    once AS (SELECT * FROM gold UNION ALL SELECT * FROM weak WHERE k NOT IN (SELECT k FROM gold))"""
+
+
+def _parts(source: str, digest: str) -> str:
+    return f"""placed AS (SELECT *, count(*) OVER (PARTITION BY label) AS size,
+        row_number() OVER (PARTITION BY label ORDER BY md5({digest})) AS place FROM {source}),
+        parts AS (SELECT *, CASE WHEN place <= size - greatest(1, floor(size * 0.15)) - greatest(1, floor(size * 0.10)) THEN 'train'
+        WHEN place <= size - greatest(1, floor(size * 0.15)) THEN 'validation' ELSE 'test' END AS split FROM placed)"""
+
+
+_EXAMPLE = "text, label, confidence, source"
+ORACLE["build_dataset"] = f"WITH {DATASET} SELECT {_EXAMPLE}, copy FROM thrice"
+ORACLE["split_dataset"] = f"""WITH {DATASET}, {_parts('once', "'42|' || k")} SELECT {_EXAMPLE}, split,
+    unnest(CASE WHEN source = 'gold' AND split = 'train' THEN [1, 2, 3] ELSE [1] END) AS copy FROM parts"""
+ORACLE["split_dataset_copies_first"] = f"""WITH {DATASET}, {_parts('thrice', "'42|' || text || '|' || source || '|' || copy")}
+    SELECT {_EXAMPLE}, copy, split FROM parts"""
 ORACLE["stratified_split"] = f"""WITH {LABELLED}, r AS (SELECT *, count(*) OVER (PARTITION BY label) AS n,
     row_number() OVER (PARTITION BY label ORDER BY md5('42|' || seq || '|' || text)) AS r FROM labelled),
     s AS (SELECT *, greatest(1, floor(n * 0.15)) AS nt, greatest(1, floor(n * 0.10)) AS nv FROM r)
@@ -1043,6 +1072,11 @@ _RANGES = rolling_sentiment(sr(Chain(MERGED, start="merged")).step(**_NO_MODULES
 _RANGES.add(f"SELECT * EXCLUDE (sent_price_confirm, sent_momentum_align), 0.0::DOUBLE AS sent_price_confirm, 0 AS sent_momentum_align FROM {_RANGES.last}")
 ORACLE["assemble"] = select(
     *_assembled(_RANGES, [*registry.FEATURE_GROUPS["sr_proximity"], *DAY_COLUMNS, *registry.ROLLING_SENTIMENT]), plain=["target"])
+_BRAND_ARTICLES = ARTICLES.replace(
+    "['click', 'error', 'purchase', 'signup', 'view'][CAST(doc_id % 5 AS INT) + 1]", "'Brand#' || (doc_id % 5 + 1) || ((doc_id // 5) % 5 + 1)"
+).replace("DATE '2023-12-30' + CAST((doc_id // 5) % 34 AS INT)", "DATE '1992-06-01' + CAST((doc_id * 37) % 2200 AS INT)")
+_BRAND_DAYS = MERGED.replace(ARTICLES, _BRAND_ARTICLES).replace(WEEKDAYS, DAILY)
+ORACLE["assemble_news"] = select(*_assembled(*_with_news(Chain(_BRAND_DAYS, start="merged"))), plain=["target"])
 _WITHOUT_NEWS = Chain(DAILY).step(**{c: "0.5::DOUBLE" if c == "positive_ratio" else "0.0::DOUBLE" for c in DAY_COLUMNS})
 ORACLE["assemble_metadata"] = _assembled(*_with_news(_WITHOUT_NEWS))[0].sql(
     f"SELECT symbol, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts, {r6('avg(target)', 'up_share')} FROM {{last}} GROUP BY symbol")

@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from catalog import tables as t
 from marketframe.functions.kernels import Frames, rank_in
 from marketframe.operators import articles as news
+from marketframe.operators import asof
 from marketframe.operators import bars as bar_ops
 from marketframe.operators import candles, daily_sentiment, headlines, memory, model, technical
 from marketframe.operators.rolling_sentiment import add_rolling_sentiment_features
 from marketframe.plans import assemble as assembly
-from marketframe.plans import registry
+from marketframe.plans import profiles, registry
 from marketframe.plans.features import build_features
-from marketframe.session import kept
+from marketframe.session import kept, shared_path
+from marketframe.sources import tables as files
 from marketframe.sources.tables import recent_articles, within_period
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +100,32 @@ def within_last_period(spark, sf):
     return within_period(t.bars_daily(spark, sf), "3 months")
 
 
+@query
+def merged_bars(spark, sf):
+    """Bars written up to a day, then merged with later ones and corrections that overlap them."""
+    bars, path = kept(t.bars_daily(spark, sf)), shared_path(spark, "bars")
+    files.write_bars(bars.where("ts < DATE'1997-01-01'"), path)
+    late = bars.where("ts >= DATE'1996-10-15'").withColumn("close", F.col("close") + 1)
+    files.merge_bars(late, path)
+    return files.read_bars(spark, path).select(*bars.columns)
+
+
+@query
+def bars_round_trip(spark, sf):
+    """The last two months of written bars, read from their folders alone."""
+    bars, path = t.bars_daily(spark, sf), shared_path(spark, "bars")
+    files.write_bars(bars, path)
+    return files.read_bars(spark, path, period="2 months").select(*bars.columns)
+
+
+@query
+def features_round_trip(spark, sf):
+    path = shared_path(spark, "features")
+    f = build_features(t.bars_daily(spark, sf), modules=["sr_proximity"], longest=t.longest(spark, sf, t.bars_daily))
+    files.write_features(f, path)
+    return spark.read.parquet(path).select("symbol", "ts", *registry.FEATURE_GROUPS["sr_proximity"])
+
+
 @query
 def drop_warmup(spark, sf):
     f = build_features(t.bars_daily(spark, sf), modules=["trend"])
@@ -235,10 +263,34 @@ def features_all(spark, sf):
     return build_features(t.bars_daily(spark, sf), longest=t.longest(spark, sf, t.bars_daily))
 
 
+FEATURES: dict[tuple[str, str], DataFrame] = {}
+
+
+def _feature_rows(spark, sf):
+    """Every column of every price module over the bars of all brands, written once per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in FEATURES:
+        FEATURES[key] = kept(features_all(spark, sf))
+    return FEATURES[key]
+
+
 @query
 def model_features(spark, sf):
-    f = build_features(t.bars_hourly(spark, sf), modules=["volume", "geometry", "returns"])
-    return registry.model_features(f)
+    return registry.model_features(_feature_rows(spark, sf))
+
+
+@query
+def feature_cols_simple(spark, sf):
+    """What is left without bars and names: raw levels stay."""
+    f = build_features(t.bars_daily(spark, sf), modules=["sr_proximity", "returns"], longest=t.longest(spark, sf, t.bars_daily))
+    return f.select("symbol", "ts", *registry.all_columns_but_raw(f))
+
+
+@query
+def normalize_bar_columns(spark, sf):
+    """Bars as a provider names them: capitals, and the symbol as a second level."""
+    bars = t.bars_hourly(spark, sf).toDF("Symbol", "TS", "Open.AAA", "High.AAA", "Low.AAA", "Close.AAA", "Volume.AAA")
+    return bar_ops.normalize_columns(bars)
 
 
 @query
@@ -247,31 +299,34 @@ def feature_group(spark, sf):
     return registry.select_feature_group(f, "returns")
 
 
-PROFILED = ["ret_1d", "ret_5d", "ret_std_20d", "max_drawdown_10d", "range_pos_20"]
-
-
-def _profile_input(spark, sf):
-    most = t.longest(spark, sf, t.bars_daily)
-    return build_features(t.bars_daily(spark, sf), modules=["sr_proximity", "returns"], longest=most)
+def _measures(df):
+    return [c for c in df.columns if c not in ("symbol", "ts")]
 
 
 @query
 def feature_profile(spark, sf):
-    return assembly.feature_profile(_profile_input(spark, sf), PROFILED)
+    """Every bar and feature column, with exact quartiles."""
+    rows = _feature_rows(spark, sf)
+    return profiles.feature_profile(rows, _measures(rows))
 
 
 @query
 def feature_correlation(spark, sf):
-    return assembly.feature_correlation(_profile_input(spark, sf), PROFILED)
+    """All pairs of the columns of two modules."""
+    most = t.longest(spark, sf, t.bars_daily)
+    f = build_features(t.bars_daily(spark, sf), modules=["sr_proximity", "returns"], longest=most)
+    return assembly.feature_correlation(f, CORRELATED)
+
+
+CORRELATED = [*registry.FEATURE_GROUPS["sr_proximity"], *[c for c in registry.FEATURE_GROUPS["returns"] if not c.endswith("_norm")]]
 
 
 @query
 def feature_consistency(spark, sf):
-    parts = model.chronological_split(_profile_input(spark, sf))
-    keep = ["symbol", "ts", *PROFILED]
-    early = parts.where(F.col("split") == "train").select(*keep)
-    late = parts.where(F.col("split") == "test").select(*[c for c in keep if c != "ret_5d"])
-    return assembly.feature_consistency(early, late)
+    """Early and late rows of every column; the late ones lack one."""
+    parts = model.chronological_split(_feature_rows(spark, sf))
+    early, late = (parts.where(F.col("split") == s).drop("split") for s in ("train", "test"))
+    return assembly.feature_consistency(early, late.drop("ret_5d"))
 
 
 # ---- news ----
@@ -309,6 +364,36 @@ def align_next_trading_day(spark, sf):
     return aligned.select("symbol", "seq", "date", "trading_day")
 
 
+@query
+def asof_next_bar(spark, sf):
+    """The hourly bar at or after each article, if it starts within two days."""
+    bars = t.bars_hourly(spark, sf)
+    return asof.asof_join(t.timed_articles(spark, sf), bars, left_ts="at", columns=["ts", "open", "close"], tolerance="2 days")
+
+
+@query
+def asof_last_bar(spark, sf):
+    """The last hourly bar that began before each article or with it, NULL where there is none."""
+    bars = t.bars_hourly(spark, sf)
+    return asof.asof_join(t.timed_articles(spark, sf), bars, left_ts="at", columns=["ts", "close"], direction="backward", how="left", prefix="bar_")
+
+
+def _text_keys(articles):
+    texts = news.with_clean_text(articles).withColumn("text_key", news.text_key(F.col("text")))
+    return news.distinct_texts(texts, "text", "seq")
+
+
+@query
+def score_store(spark, sf):
+    """What a store of scores saves: scored for some symbols, then asked for all, then for all once more."""
+    store, all_ = shared_path(spark, "scores"), t.articles(spark, sf)
+    news.score_once(_text_keys(all_.where(F.col("symbol") != "view")), t.hash_scorer, store)
+    first = kept(news.store_report(_text_keys(all_), store))
+    scores = news.score_once(_text_keys(all_), t.hash_scorer, store)
+    again = news.store_report(scores, store)
+    return first.withColumn("run", F.lit(2)).unionByName(again.withColumn("run", F.lit(3)))
+
+
 @query
 def score_articles(spark, sf):
     scored = news.score_articles(t.articles(spark, sf), t.hash_scorer)
@@ -431,6 +516,27 @@ def oversample_gold(spark, sf):
     return headlines.oversample_gold(t.labelled_headlines(spark, sf).where(F.col("label") != 2))
 
 
+def _weak_and_gold(spark, sf):
+    weak = headlines.weak_label(t.headline_feed(spark, sf), t.hash_scorer, threshold=headlines.MIN_CONFIDENCE)
+    return weak, headlines.gold_examples(spark)
+
+
+@query
+def build_dataset(spark, sf):
+    """Weakly labelled headlines and the shipped gold list three times."""
+    return headlines.build_dataset(*_weak_and_gold(spark, sf))
+
+
+@query
+def split_dataset(spark, sf):
+    return headlines.split_dataset(*_weak_and_gold(spark, sf))
+
+
+@query
+def split_dataset_copies_first(spark, sf):
+    return headlines.split_dataset(*_weak_and_gold(spark, sf), reference_order=True)
+
+
 @query
 def stratified_split(spark, sf):
     return headlines.stratified_split(t.labelled_headlines(spark, sf), key=["seq", "text"])
@@ -529,8 +635,8 @@ TRAINED: dict[tuple[str, str], tuple] = {}
 
 def _training_rows(spark, sf):
     """Labelled bars with every column of every price module, written once, and the names a model is trained on."""
-    bars, n = t.bars_daily(spark, sf), t.longest(spark, sf, t.bars_daily)
-    rows = kept(model.target_label(build_features(bars, longest=n), longest=n))
+    n = t.longest(spark, sf, t.bars_daily)
+    rows = kept(model.target_label(_feature_rows(spark, sf), longest=n))
     return rows, registry.feature_columns(rows)
 
 
@@ -579,6 +685,12 @@ def assemble(spark, sf):
     )
 
 
+@query
+def assemble_news(spark, sf):
+    """Six years of bars and the articles about them to labelled rows of every price and sentiment feature."""
+    return assembly.assemble(t.bars_daily(spark, sf), t.brand_articles(spark, sf), t.hash_scorer)
+
+
 @query
 def assemble_metadata(spark, sf):
     return assembly.metadata(assembly.assemble(t.bars_daily(spark, sf)))

@@ -82,6 +82,10 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
         F.col("source").alias("publisher"),
         F.date_format(F.date_add(F.lit("2023-12-30").cast("date"), days), "yyyy-MM-dd").alias("date"),
     )
+    return _with_copies(base)
+
+
+def _with_copies(base: DataFrame) -> DataFrame:
     copies = base.where(F.col("publisher") == "src0").withColumns({
         "seq": F.col("seq") + 10_000_000,
         "title": F.translate("title", LOWER, UPPER),
@@ -89,6 +93,22 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
     return base.unionByName(copies)
 
 
+def brand_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """The same articles, about the brands of ``bars_daily`` and spread over six years of its days."""
+    doc = F.pmod("seq", F.lit(10_000_000))
+    symbol = F.concat(F.lit("Brand#"), F.pmod(doc, F.lit(5)) + 1, F.pmod(F.floor(doc / 5), F.lit(5)) + 1)
+    day = F.date_add(F.lit("1992-06-01").cast("date"), F.pmod(doc * 37, F.lit(2200)).cast("int"))
+    return articles(spark, sf).withColumns({"symbol": symbol, "date": F.date_format(day, "yyyy-MM-dd")})
+
+
+def timed_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """(symbol, seq, at): each article at a second of its day."""
+    second = F.pmod(F.col("seq") * 7919, F.lit(86_400)).cast("int")
+    midnight = F.to_timestamp_ntz(F.concat("date", F.lit(" 00:00:00")))
+    at = midnight + F.make_dt_interval(secs=second)
+    return articles(spark, sf).select("symbol", "seq", at.alias("at"))
+
+
 def _hash_scorer():
     """Test stub, not a sentiment model: probabilities from the digits of the text's MD5.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,9 +12,12 @@ from pyspark.sql import functions as F
 
 from marketframe.functions.scalars import clean_text, is_scorable, parse_day, score_struct, strip, text_key
 from marketframe.operators.skew import first_per_group
+from marketframe.session import importable, path_exists
 
 Scorer = Callable[[pd.Series], pd.DataFrame]
 PROBABILITIES = ["positive", "negative", "neutral"]
+#: The model that a Python worker holds, by the name of the run that loaded it.
+LOADED: dict[str, Scorer] = {}
 
 
 def with_clean_text(articles: DataFrame, max_description: int | None = None) -> DataFrame:
@@ -95,11 +97,13 @@ def score_texts(
             *keys, *[p[i].alias(n) for i, n in enumerate(PROBABILITIES)]
         )
 
+    importable(texts.sparkSession)
     name = f"{scorer.__module__}.{scorer.__qualname__}-{uuid.uuid4().hex}"
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Modules live as long as the worker, and so does what hangs on one.
-        loaded = sys.modules[pd.__name__].__dict__.setdefault("_loaded_scorers", {})
+        # Modules live as long as the worker, and so does what they hold.
+        from marketframe.operators.articles import LOADED as loaded
+
         if name not in loaded:
             loaded.clear()  # a worker holds one model
             loaded[name] = scorer()
@@ -113,6 +117,42 @@ def score_texts(
     return texts.repartition(n, "text_key").mapInPandas(score, schema)
 
 
+def score_once(
+    texts: DataFrame,
+    scorer: Callable[[], Scorer] | object,
+    store: str,
+    batch_size: int = 32,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Class probabilities for each row of (text_key, text), of which only texts that ``store`` lacks are scored.
+
+    ``store`` is a folder of (text_key, positive, negative, neutral). New scores are appended by one job, which is seen
+    whole or not at all, so a run that failed is simply run again. Two runs at a time may both append a
+    text; its smallest record counts. The returned rows are those of ``texts``, read from the store.
+    """
+    spark = texts.sparkSession
+    schema = ", ".join(["text_key string", *(f"{p} double" for p in PROBABILITIES)])
+
+    def stored() -> DataFrame:
+        record = F.min(F.struct(*PROBABILITIES)).alias("__p")
+        return spark.read.schema(schema).parquet(store).groupBy("text_key").agg(record).select("text_key", "__p.*")
+
+    new = texts
+    if path_exists(spark, store):
+        new = texts.join(stored().select("text_key"), "text_key", "left_anti")
+    score_texts(new.select("text_key", "text"), scorer, batch_size, partitions).write.mode("append").parquet(store)
+    return texts.select("text_key").join(stored(), "text_key")
+
+
+def store_report(texts: DataFrame, store: str) -> DataFrame:
+    """How many of the texts a store holds already: n_texts, hits, misses, hit_rate."""
+    spark = texts.sparkSession
+    known = spark.read.schema("text_key string").parquet(store).distinct() if path_exists(spark, store) else spark.createDataFrame([], "text_key string")
+    found = texts.select("text_key").join(known.withColumn("__hit", F.lit(1)), "text_key", "left")
+    out = found.agg(F.count("*").alias("n_texts"), F.count("__hit").alias("hits"))
+    return out.select("n_texts", "hits", (F.col("n_texts") - F.col("hits")).alias("misses"), F.try_divide("hits", "n_texts").alias("hit_rate"))
+
+
 def score_articles(
     articles: DataFrame,
     scorer: Callable[[], Scorer] | object,

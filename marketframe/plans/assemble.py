@@ -22,6 +22,7 @@ from marketframe.operators.panel import MAX_ROWS, longest_symbol
 from marketframe.operators.skew import keep
 from marketframe.plans.features import build_features
 from marketframe.plans.registry import feature_columns
+from marketframe.session import kept
 
 # How a named data set is labelled.
 CONFIGS = {"default": {"horizon": 1, "threshold": 0.003, "shift_days": 1}}
@@ -57,7 +58,8 @@ def assemble(
         merged = add_sentiment_placeholders(clean)
     else:
         daily = build_daily_sentiment(articles, clean, scorer)
-        merged = merge_price_and_sentiment(clean, daily, config["shift_days"], longest=n)
+        # Written once: nothing is scored again, and the optimizer doesn't carry the news through every window.
+        merged = kept(merge_price_and_sentiment(clean, daily, config["shift_days"], longest=n))
     features = drop_warmup(build_features(settled(merged, n), modules=modules, longest=n))
     labelled = target_threshold(settled(features, n), config["horizon"], config["threshold"], longest=n)
     return labelled.select("symbol", "ts", *feature_columns(labelled), "target")
@@ -73,30 +75,6 @@ def metadata(assembled: DataFrame) -> DataFrame:
     )
 
 
-def feature_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per column: missing and infinite values, min, mean, max, sample deviation.
-
-    One pass aggregates all columns side by side; the single wide row is then turned.
-    """
-    inf = [float("inf"), float("-inf")]
-    stats = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        finite = F.when(~x.isin(inf) & ~F.isnan(x), x)
-        stats.append(
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.count(F.when(x.isNull() | F.isnan(x), 1)).alias("n_missing"),
-                F.count(F.when(x.isin(inf), 1)).alias("n_infinite"),
-                F.min(finite).alias("min"),
-                F.avg(finite).alias("mean"),
-                F.max(finite).alias("max"),
-                F.stddev_samp(finite).alias("std"),
-            )
-        )
-    return df.agg(F.array(*stats).alias("rows")).select(F.inline("rows"))
-
-
 def feature_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of each pair of columns (a, b, corr), 3 places, over rows that have both.
 

@@ -57,21 +57,30 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
     return context.getCheckpointDir()
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` written once and read back: computed once, cheap to read again, and safe from lost executors.
+def shared_path(spark: SparkSession, kind: str = "kept") -> str:
+    """A new path below the folder that ``spark.checkpoint.dir`` names.
 
-    The table lies in the folder that ``spark.checkpoint.dir`` names. Where none is named a local master gets a
-    temporary folder; other masters are refused, since their executors share no such folder.
+    Where none is named a local master gets a temporary folder; other masters are refused, since their executors share
+    no such folder.
     """
-    spark = df.sparkSession
     folder = checkpoint_dir(spark)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = checkpoint_dir(spark, tempfile.mkdtemp(prefix="checkpoints-"))
-    path = f"{folder.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written once and read back: computed once, cheap to read again, and safe from lost executors."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
 
 def importable(spark: SparkSession) -> SparkSession:

@@ -11,6 +11,7 @@ from marketframe.operators.bars import normalize_columns
 from marketframe.operators.boosting import BoostedTrees
 from marketframe.operators.headlines import headline_text
 from marketframe.operators.skew import first_per_group
+from marketframe.session import path_exists
 
 BARS = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
 ARTICLES = "symbol string, seq bigint, title string, description string, publisher string, date string"
@@ -100,6 +101,33 @@ def write_bars(bars: DataFrame, path: str) -> None:
     sliced.write.mode("overwrite").partitionBy("month").parquet(path)
 
 
+def merge_bars(bars: DataFrame, path: str) -> None:
+    """Late and corrected bars into what ``write_bars`` has laid out; only the months they touch are read and rewritten.
+
+    A bar replaces the one of its symbol and time, and of several new ones the greatest by its values stays. Months
+    become visible when the whole job has been committed, so a lost executor leaves the old ones. ``bars`` must have the
+    table's columns; those without a time are refused, since they belong to no month. A path without a table is written
+    as by ``write_bars``; no bars change nothing.
+    """
+    spark, names = bars.sparkSession, list(bars.columns)
+    values = [c for c in names if c not in ("symbol", "ts")]
+    by_month = bars.withColumn("month", F.date_format("ts", "yyyy-MM"))
+    months = [r.month for r in by_month.select("month").distinct().collect()]  # a calendar's worth
+    if None in months:
+        raise ValueError("a bar without a time belongs to no month")
+    if not months:
+        return
+    new = by_month.select(*names, "month", F.lit(1).alias("__turn"))
+    if path_exists(spark, path):
+        schema = ", ".join(f"`{c}` {t}" for c, t in bars.dtypes) + ", month string"
+        old = spark.read.schema(schema).parquet(path).where(F.col("month").isin(months))
+        new = new.unionByName(old.withColumn("__turn", F.lit(0)))
+    last = F.max(F.struct("__turn", *values)).alias("__last")
+    rows = new.groupBy("symbol", "ts", "month").agg(last).select("symbol", "ts", *[F.col(f"__last.{c}").alias(c) for c in values], "month")
+    sliced = rows.select(*names, "month").repartitionByRange("month", "symbol", "ts").sortWithinPartitions("month", "symbol", "ts")
+    sliced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+
+
 def write_features(features: DataFrame, path: str, mode: str = "overwrite") -> None:
     """The feature table as parquet, in files ranged over (symbol, ts).
 
@@ -119,8 +147,6 @@ def save_model(model: BoostedTrees | PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> BoostedTrees | PipelineModel:
     """What ``save_model`` wrote: a pipeline has a metadata folder, boosted trees a table of nodes."""
-    spark = SparkSession.active()
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/nodes")
-    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+    if path_exists(SparkSession.active(), f"{path}/nodes"):
         return BoostedTrees.load(path)
     return PipelineModel.load(path)

@@ -12,7 +12,8 @@ from catalog import tables as t
 from marketframe.operators import articles as news
 from marketframe.operators import headlines, model
 from marketframe.operators.bars import build_bars, inf_to_null, normalize_columns, validate_timeseries
-from marketframe.plans.assemble import assemble, feature_consistency, feature_correlation, feature_profile, metadata, simple_features
+from marketframe.plans.assemble import assemble, feature_consistency, feature_correlation, metadata, simple_features
+from marketframe.plans.profiles import feature_profile
 from marketframe.plans.features import build_features
 from marketframe.sources import tables as sources
 

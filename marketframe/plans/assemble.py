@@ -60,7 +60,9 @@ def assemble(
         daily = build_daily_sentiment(articles, clean, scorer)
         # Written once: nothing is scored again, and the optimizer doesn't carry the news through every window.
         merged = kept(merge_price_and_sentiment(clean, daily, config["shift_days"], longest=n))
-    features = drop_warmup(build_features(settled(merged, n), modules=modules, longest=n))
+    built = build_features(settled(merged, n), modules=modules, longest=n)
+    # Planning a filter on 360 columns over all windows and the news takes minutes; over a table it is cheap.
+    features = drop_warmup(built if articles is None else kept(built))
     labelled = target_threshold(settled(features, n), config["horizon"], config["threshold"], longest=n)
     return labelled.select("symbol", "ts", *feature_columns(labelled), "target")
 

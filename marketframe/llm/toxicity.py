@@ -75,6 +75,7 @@ class Trie:
         self.lengths: list[int] = [0]
         self.terms = terms
         self._by_length: list[tuple[int, np.ndarray]] | None = None
+        self._pieces: tuple[dict, dict, dict] | None = None
         self.bits = {c: 1 << i for i, c in enumerate(sorted({c for t in terms for c in t}))}
         for no, t in enumerate(terms):
             letters, at = self.letters(t), 0
@@ -126,6 +127,37 @@ class Trie:
                     out[some[rows]] = (lacks <= 2 * allowed[rows][:, None]).any(axis=1)
         return out
 
+    def shares_piece(self, word: str) -> bool:
+        """Whether a piece of a term stands where an untouched one would; ``near`` finds nothing without one.
+
+        Of a term that allows e errors, cut into e + 1 pieces, e errors leave one piece as it is. One error lies before the
+        second half, which then ends the word, or after the first, which then begins it; two shift a piece by two letters at most.
+        """
+        if self._pieces is None:
+            heads, tails, spots = {}, {}, {}
+            for t in self.terms:
+                n = len(t)
+                if errors_allowed(n) == 1:
+                    heads.setdefault(n // 2, set()).add(t[: n // 2])
+                    tails.setdefault(n - n // 2, set()).add(t[n // 2 :])
+                elif errors_allowed(n) == 2:
+                    for a, b in ((0, n // 3), (n // 3, 2 * n // 3), (2 * n // 3, n)):
+                        for at in range(max(0, a - 2), a + 3):
+                            spots.setdefault((at, at + b - a), set()).add(t[a:b])
+            self._pieces = heads, tails, spots
+        heads, tails, spots = self._pieces
+        for n, pieces in heads.items():
+            if word[:n] in pieces:
+                return True
+        for n, pieces in tails.items():
+            if word[-n:] in pieces:
+                return True
+        if len(word) > 6:
+            for (a, b), pieces in spots.items():
+                if word[a:b] in pieces:
+                    return True
+        return False
+
     def near(self, word: str) -> tuple[int, int] | None:
         """(errors, number of the term) of the nearest term within its allowed errors, or None."""
         n = len(word)
@@ -169,6 +201,7 @@ class Lexicon:
     def __init__(self, words: dict[str, float], beginnings: dict[str, float], fuzzy: list[str], harmless: frozenset = frozenset()):
         self.words, self.beginnings, self.fuzzy, self.harmless = words, beginnings, fuzzy, harmless
         self.trie, self.memo = Trie(fuzzy), {}
+        self.heads = {b[: PREFIXES[0]] for b in beginnings}
 
     def digest(self) -> str:
         parts = repr((sorted(self.words.items()), sorted(self.beginnings.items()), self.fuzzy, sorted(self.harmless)))
@@ -189,11 +222,12 @@ class Lexicon:
         """(term, weight, errors) of a normal word; ``near`` tells whether it may be a misspelt term."""
         if word in self.words:
             return word, self.words[word], 0
-        begins = [(self.beginnings[word[:n]], word[:n]) for n in PREFIXES if len(word) > n and word[:n] in self.beginnings]
-        if begins:
-            weight, term = max(begins)
-            return f"{term}*", weight, 0
-        found = self.trie.near(word) if near and word not in self.harmless else None
+        if word[: PREFIXES[0]] in self.heads:
+            begins = [(self.beginnings[word[:n]], word[:n]) for n in PREFIXES if len(word) > n and word[:n] in self.beginnings]
+            if begins:
+                weight, term = max(begins)
+                return f"{term}*", weight, 0
+        found = self.trie.near(word) if near and word not in self.harmless and self.trie.shares_piece(word) else None
         if found and found[0]:
             term = self.fuzzy[found[1]]
             return term, self.words[term] * 0.8 ** found[0], found[0]
@@ -202,8 +236,10 @@ class Lexicon:
     def parts(self, chunk: str) -> list[str]:
         """A run of characters as a normal word, and its parts between hyphens and the like."""
         whole = normal(chunk)
+        if whole.isalnum():
+            return [whole] if len(whole) > 2 else []
         words = {whole}
-        if not whole.isalnum():
+        if whole:
             words |= {normal(p) for p in whole.replace("/", "-").replace("_", "-").replace("’", "'").replace("'", "-").split("-")}
         return sorted(w for w in words if len(w) > 2)
 
@@ -216,18 +252,19 @@ class Lexicon:
         parts = [self.parts(c) for c in fresh]
         words = list({w for p in parts for w in p})
         chance = self.trie.possible(words)
-        known = {}
+        known, at, heads = {}, PREFIXES[0], self.heads
         for w, near in zip(words, chance.tolist(), strict=True):
+            if not near and w not in self.words and w[:at] not in heads:
+                continue
             x = self.look_up(w, near)
             if x:
                 known[w] = (x[1], x[0], x[2], w)
+        self.memo.update(dict.fromkeys(fresh))
         for c, p in zip(fresh, parts, strict=True):
-            found = [known[w] for w in p if w in known]
-            if found:
-                weight, term, errors, word = max(found)
-                self.memo[c] = (term, weight, errors, word)
-            else:
-                self.memo[c] = None
+            if known.keys().isdisjoint(p):
+                continue
+            weight, term, errors, word = max(known[w] for w in p if w in known)
+            self.memo[c] = (term, weight, errors, word)
 
     def prepared(self, texts: list[str]):
         """The texts, after the words of as many as ``MEMO`` has room for were looked up together."""
@@ -251,10 +288,14 @@ class Lexicon:
     def hits(self, text: str) -> list[tuple]:
         """(word number, term, weight, errors, form, quoted, reported, addressed) of each hit."""
         chunks = text.split()
-        self.learn(dict.fromkeys(chunks))
         memo = self.memo
+        try:
+            looked = list(map(memo.__getitem__, chunks))
+        except KeyError:
+            self.learn(dict.fromkeys(chunks))
+            looked = list(map(memo.__getitem__, chunks))
         out = []
-        for i in [i for i, c in enumerate(chunks) if memo[c]]:
+        for i in [i for i, x in enumerate(looked) if x]:
             before, after = chunks[max(0, i - CONTEXT) : i], chunks[i + 1 : i + 1 + CONTEXT]
             opened = sum(c[0] in QUOTES for c in [*before, chunks[i]]) - sum(c.rstrip(".,;:!?")[-1:] in QUOTES and c[-1:] != "" for c in before if len(c) > 1)
             closed = any(c.rstrip(".,;:!?")[-1:] and c.rstrip(".,;:!?")[-1] in QUOTES for c in [chunks[i], *after])

@@ -28,9 +28,11 @@ CLOSED = (100, 80)
 TOP = 2000
 SCALE = 2_000_000
 #: Bytes of text handled at a time, rests of a container before it bursts, rests that the tries of a task hold before subtrees are spilt.
-LOT = 4 << 20
+LOT = 2 << 20
 BURST = 4096
-ROOM = 1_500_000
+ROOM = 500_000
+#: Different words that a task knows by number, of all languages, before it spills all it holds and forgets them.
+KNOWN = 400_000
 BITS = 21
 SALTS = 16
 
@@ -49,13 +51,19 @@ class HatTrie:
 
     def __init__(self, length: int, burst: int = BURST, room: int = ROOM):
         self.length, self.burst, self.room = length, burst, room
-        self.top: dict[int, dict] = {}  # first word -> container, or node after a burst
+        self.top: dict[int, dict] = {}  # first word -> container, or node after a burst; its count where phrases have one word
         self.size: dict[int, int] = {}  # first word -> rests below
         self.total = 0
 
     def add(self, first: np.ndarray, rest: np.ndarray, times: np.ndarray) -> None:
         """Different rows in order: the first word, the other words packed by ``BITS``, how often."""
         cuts = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]])).tolist() if len(first) else []
+        if self.length == 1:  # a word ends at the root, so its count stands there
+            top, get = self.top, self.top.get
+            for w, k in zip(first.tolist(), times.tolist(), strict=True):
+                top[w] = get(w, 0) + k
+            self.total = len(top)
+            return
         rests, n, words = rest.tolist(), times.tolist(), first[cuts].tolist()
         for w, a, b in zip(words, cuts, [*cuts[1:], len(rests)], strict=True):
             tree = self.top.get(w)
@@ -119,6 +127,13 @@ class HatTrie:
 
     def spill(self, keep: int = 0):
         """(first word, rests, counts) of whole subtrees, the largest first, until at most ``keep`` rests stay."""
+        if self.length == 1:
+            for w in sorted(self.top):
+                if self.total <= keep and keep:
+                    break
+                self.total -= 1
+                yield w, [0], [self.top.pop(w)]
+            return
         for w in sorted(self.size, key=lambda w: (-self.size[w], w)):
             if self.total <= keep and keep:
                 break
@@ -160,13 +175,19 @@ def counted(rows: DataFrame, length: int, sieve: Sieve | None, burst: int = BURS
     """lang, phrase, f of all phrases of so many words whose shorter ones pass the sieve, in rows lang, text."""
     names = ["lang", "phrase", "f"]
 
+    def some(batches):
+        """A batch's rows about a lot at a time, so that no more of them are Python's own."""
+        for b in batches:
+            step = max(1, b.num_rows * lot // max(1, b.nbytes))
+            for at in range(0, b.num_rows, step):
+                yield b.slice(at, step)
+
     def run(batches):
         tries: dict[str, HatTrie] = {}
         numbers: dict[str, dict[bytes, int]] = {}
-        spelt: dict[str, list[str]] = {}
 
         def runs(lang: str, keep: int):
-            words, mask = pa.array(spelt[lang], pa.string()), (1 << BITS) - 1
+            words, mask = pa.array(numbers[lang], pa.binary()).cast(pa.string()), (1 << BITS) - 1
             heads, sizes, rests, times = [], [], [], []
 
             def batch():
@@ -184,9 +205,10 @@ def counted(rows: DataFrame, length: int, sieve: Sieve | None, burst: int = BURS
                 if len(rests) > 50_000:
                     yield batch()
                     heads, sizes, rests, times = [], [], [], []
-            yield batch()
+            if rests:
+                yield batch()
 
-        for b in batches:
+        for b in some(batches):
             for lang, data in lots(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), lot):
                 words = data.translate(_BYTES).replace(_END, b" \xff ").split()
                 if not words:
@@ -211,17 +233,13 @@ def counted(rows: DataFrame, length: int, sieve: Sieve | None, burst: int = BURS
                 used = np.zeros(len(distinct), bool)
                 for k in range(length):
                     used[code[at + k]] = True
-                if len(known) + used.sum() >= 1 << BITS:
-                    yield from runs(lang, 0)
-                    known.clear()
-                    spelt[lang] = []
-                listed = spelt.setdefault(lang, [])
+                if sum(map(len, numbers.values())) + used.sum() >= min(room, KNOWN) or len(known) + used.sum() >= 1 << BITS:
+                    for other in tries:
+                        yield from runs(other, 0)
+                        numbers[other].clear()
                 number = np.zeros(len(distinct), np.int64)
                 for i in np.flatnonzero(used).tolist():
-                    no = known.setdefault(distinct[i], len(known))
-                    if no == len(listed):
-                        listed.append(distinct[i].decode())
-                    number[i] = no
+                    number[i] = known.setdefault(distinct[i], len(known))
                 first, rest = number[code[at]], np.zeros(len(at), np.int64)
                 for k in range(1, length):
                     rest = rest << BITS | number[code[at + k]]

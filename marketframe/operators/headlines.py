@@ -12,6 +12,7 @@ from marketframe.functions.kernels import round4
 from marketframe.functions.scalars import LABEL_IDS, LABEL_NAMES, label_name, strip, text_key
 from marketframe.operators.articles import score_texts
 from marketframe.operators.skew import first_per_group, hash_ranks
+from marketframe.session import kept
 
 MIN_LENGTH = 15
 MIN_CONFIDENCE = 0.65
@@ -185,7 +186,9 @@ def split_dataset(
     two splits. Sentences are equal up to case and surrounding white space; where the gold list has
     one, its label counts and weak labels of it go, and of several rows of one kind the first by text
     and label stays. ``reference_order`` copies first and splits the copies, repeats included.
+    The labels are written once, since ranks are counted first and then joined back: nothing is scored twice.
     """
+    labelled = kept(labelled)
     if reference_order:
         return stratified_split(build_dataset(labelled, gold, copies), seed, ["text", "source", "copy"])
     key = text_key(F.col("text")).alias("__key")

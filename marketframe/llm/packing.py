@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.llm import tokens
-from marketframe.llm.common import settle, text_or_empty
+from marketframe.llm.common import settle, slices, text_or_empty
 from marketframe.llm.tokens import tokenizer_path
 
 WINDOW = 1024
@@ -32,7 +32,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, and ids if they are kept."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             doc, start, length, crc, total, kept = [], [], [], [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = np.append(tokens.ids(path, text), END_ID).astype("<u4")

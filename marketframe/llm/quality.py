@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import text_or_empty
+from marketframe.llm.common import slices, text_or_empty
 from marketframe.llm.learn import SAMPLE, fitted, labelled
 
 #: Slots of words and of shapes, dimensions, entries that are not zero in an index vector.
@@ -31,7 +31,7 @@ KEEP = 0.3
 #: Frequency at which a word weighs half.
 HALF = 1e-3
 CHUNK = 64
-MEMO = 400_000
+MEMO = 200_000
 TEXT = 2 << 20
 
 _ASCII = str.maketrans({**{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "9" for c in "0123456789"}})
@@ -108,10 +108,11 @@ def context_sums(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def run(batches):
         slots, vectors, sums, any_row = Slots(), index_vectors(), np.zeros((SLOTS + 1, DIMS + 1), np.int64), False
         for b in batches:
-            for n, words, shapes in in_blocks(b.column(0).to_pylist(), slots):
-                any_row = True
-                neighbours(n, words, vectors, sums)
-                neighbours(n, shapes, vectors, sums)
+            for part in slices(b.column(0)):
+                for n, words, shapes in in_blocks(part.to_pylist(), slots):
+                    any_row = True
+                    neighbours(n, words, vectors, sums)
+                    neighbours(n, shapes, vectors, sums)
         if any_row:
             parts = [zlib.compress(sums[i : i + CHUNK].astype("<i8").tobytes(), 1) for i in range(0, SLOTS, CHUNK)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["part", "sums"])
@@ -145,8 +146,11 @@ class WordVectors:
     def __setstate__(self, state):
         self.__dict__.update(state, slots=Slots())
 
-    def pool(self, texts: list[str]) -> np.ndarray:
+    def pool(self, texts: list[str] | pa.Array) -> np.ndarray:
         """A row per text: mean vector of words, mean vector of shapes, log of the number of words."""
+        if isinstance(texts, pa.Array):
+            rows = [self.pool(part.to_pylist()) for part in slices(texts)]
+            return np.concatenate(rows) if rows else self.pool([])
         out = []
         for n, words, shapes in in_blocks(texts, self.slots):
             rows = np.zeros((len(n), 2 * DIMS + 1), np.float64)
@@ -166,15 +170,15 @@ class QualityModel:
     def __init__(self, vectors: WordVectors, network):
         self.vectors, self.network = vectors, network
 
-    def scores(self, texts: list[str]) -> np.ndarray:
+    def scores(self, texts: list[str] | pa.Array) -> np.ndarray:
         return self.network(self.vectors.pool(texts)) if len(texts) else np.zeros(0)
 
     def column(self, text_col: str = "text") -> Column:
         """The score of a text as a column."""
 
-        @F.pandas_udf("double")
-        def score(texts: pd.Series) -> pd.Series:
-            return pd.Series(self.scores(texts.tolist()))
+        @F.arrow_udf("double")
+        def score(texts: pa.Array) -> pa.Array:
+            return pa.array(self.scores(texts), pa.float64())
 
         return score(text_or_empty(text_col))
 
@@ -189,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 
     def features(batches):
         for b in batches:
-            x = vectors.pool(b.column(2).to_pylist())
+            x = vectors.pool(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))

@@ -12,6 +12,8 @@ Every part of a frequent phrase is frequent, so scores need only the frequent ta
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import Sieve, settle, text_or_empty
+from marketframe.llm.common import Sieve, settle, slices, text_or_empty
 
 LEAST = 30
 WORDS = 4
@@ -142,7 +144,7 @@ class HatTrie:
             yield w, rests, times
 
 
-def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
+def word_hashes(lang: str, words: Collection[bytes]) -> np.ndarray:
     seed = xxhash.xxh64_intdigest(lang.encode())
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
@@ -173,14 +175,8 @@ def lots(langs: list[str], texts: list[bytes], size: int):
 
 def counted(rows: DataFrame, length: int, sieve: Sieve | None, burst: int = BURST, room: int = ROOM, lot: int = LOT) -> DataFrame:
     """lang, phrase, f of all phrases of so many words whose shorter ones pass the sieve, in rows lang, text."""
-    names = ["lang", "phrase", "f"]
-
-    def some(batches):
-        """A batch's rows about a lot at a time, so that no more of them are Python's own."""
-        for b in batches:
-            step = max(1, b.num_rows * lot // max(1, b.nbytes))
-            for at in range(0, b.num_rows, step):
-                yield b.slice(at, step)
+    names = ["lang", "phrase", "f"] if length == 1 else ["lang", "first", "salt", "rests", "times"]
+    salts = SALTS * 4 ** max(0, length - 2)
 
     def run(batches):
         tries: dict[str, HatTrie] = {}
@@ -190,12 +186,28 @@ def counted(rows: DataFrame, length: int, sieve: Sieve | None, burst: int = BURS
             words, mask = pa.array(numbers[lang], pa.binary()).cast(pa.string()), (1 << BITS) - 1
             heads, sizes, rests, times = [], [], [], []
 
+            marks = word_hashes("", numbers[lang]) if length > 1 else None
+
             def batch():
-                rest = np.array(rests, np.int64)
-                numbers = [np.repeat(np.array(heads, np.int64), sizes), *[rest >> k & mask for k in range(BITS * (length - 2), -1, -BITS)]]
-                parts = [words.take(pa.array(x)) for x in numbers]
-                phrases = pc.binary_join_element_wise(*parts, " ") if length > 1 else parts[0]
-                return pa.RecordBatch.from_arrays([pa.array([lang] * len(rests), pa.string()), phrases, pa.array(times, pa.int64())], names)
+                if length == 1:
+                    return pa.RecordBatch.from_arrays([pa.array([lang] * len(rests), pa.string()), words.take(pa.array(heads)), pa.array(times, pa.int64())], names)
+                rest, tree = np.array(rests, np.int64), np.repeat(np.arange(len(heads)), sizes)
+                after = [rest >> k & mask for k in range(BITS * (length - 2), -1, -BITS)]
+                group = tree * salts + (phrase_hashes([marks[x] for x in after]) % np.uint64(salts)).astype(np.int64)
+                order = np.argsort(group, kind="stable")
+                group = group[order]
+                starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+                parts = [words.take(pa.array(x[order])) for x in after]
+                ends = pa.array(np.append(starts, len(group)), pa.int32())
+                group = group[starts]
+                cols = [
+                    pa.array([lang] * len(group), pa.string()),
+                    words.take(pa.array(np.array(heads, np.int64)[group // salts])),
+                    pa.array(group % salts, pa.int32()),
+                    pc.binary_join(pa.ListArray.from_arrays(ends, pc.binary_join_element_wise(*parts, " ") if length > 2 else parts[0]), "\n"),
+                    pa.ListArray.from_arrays(ends, pa.array(np.array(times, np.int64)[order])),
+                ]
+                return pa.RecordBatch.from_arrays(cols, names)
 
             for first, some, n in tries[lang].spill(keep):
                 heads.append(first)
@@ -208,7 +220,7 @@ def counted(rows: DataFrame, length: int, sieve: Sieve | None, burst: int = BURS
             if rests:
                 yield batch()
 
-        for b in some(batches):
+        for b in (part for whole in batches for part in slices(whole, lot)):
             for lang, data in lots(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), lot):
                 words = data.translate(_BYTES).replace(_END, b" \xff ").split()
                 if not words:
@@ -254,12 +266,15 @@ def counted(rows: DataFrame, length: int, sieve: Sieve | None, burst: int = BURS
         for lang in tries:
             yield from runs(lang, 0)
 
-    # A hot prefix is split by a hash of the whole phrase; a phrase stays in one partition.
-    salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).alias("salt")
-    prefix = F.substring_index("phrase", " ", max(1, length - 1)).alias("prefix")
-    found = rows.mapInArrow(run, "lang string, phrase string, f long").select("*", prefix, salt)
-    merged = found.repartition("lang", "prefix", "salt").groupBy("lang", "prefix", "salt", "phrase").agg(F.sum("f").alias("f"))
-    return merged.select("lang", "phrase", "f")
+    if length == 1:
+        found = rows.mapInArrow(run, "lang string, phrase string, f long").repartition("lang", "phrase")
+        return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    # A subtree's rests travel as one text (no word has a line end) without their prefix, the first word. A hot prefix is split by a hash of the rest; a phrase stays in one partition.
+    found = rows.mapInArrow(run, "lang string, first string, salt int, rests string, times array<long>")
+    dealt = found.repartition("lang", "first", "salt").select("lang", "first", "salt", "times", F.posexplode(F.split("rests", "\n")).alias("at", "rest"))
+    dealt = dealt.select("lang", "first", "salt", "rest", F.col("times")[F.col("at")].alias("f"))
+    merged = dealt.groupBy("lang", "first", "salt", "rest").agg(F.sum("f").alias("f"))
+    return merged.select("lang", F.concat_ws(" ", "first", "rest").alias("phrase"), "f")
 
 
 def sieve_of(phrases: DataFrame) -> Sieve:

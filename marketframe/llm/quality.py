@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,8 @@ HALF = 1e-3
 CHUNK = 64
 MEMO = 200_000
 TEXT = 2 << 20
+#: Words of a text that are pooled at a time.
+ROWS = 1 << 16
 
 _ASCII = str.maketrans({**{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "9" for c in "0123456789"}})
 _RUNS = re.compile(r"(.)\1+")
@@ -52,11 +55,19 @@ class Slots(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= MEMO:
             self.clear()
-        digest = lambda s, n: xxhash.xxh32_intdigest(s.encode("utf-8", "replace")) % n
-        self[word] = both = digest(word.lower(), WORDS) << 16 | (1 + digest(shape(word), SHAPES - 1))
+        # Most new words are of small letters only, whose shape needs no look at them.
+        known = _SMALL if word.isascii() and word.isalpha() and word.islower() else 1 + _digest(shape(word), SHAPES - 1)
+        self[word] = both = _digest(word.lower(), WORDS) << 16 | known
         return both
 
 
+def _digest(s: str, n: int) -> int:
+    return xxhash.xxh32_intdigest(s.encode("utf-8", "replace")) % n
+
+
+_SMALL = 1 + _digest("a", SHAPES - 1)
+
+
 def index_vectors(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Positions and signs of the entries of each slot's index vector; the last slot is none."""
     rng = np.random.default_rng(seed)
@@ -79,7 +90,7 @@ def in_blocks(texts: list[str], slots: Slots):
             end += 1
         words = [t.split() for t in texts[at:end]]
         n = np.array([len(w) for w in words], np.int64)
-        both = np.fromiter((slots[w] for ws in words for w in ws), np.int64, int(n.sum()))
+        both = np.fromiter(map(slots.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
         first = np.zeros(len(both), bool)
         starts = np.cumsum(n) - n
         first[starts[n > 0]] = True
@@ -138,13 +149,26 @@ class WordVectors:
         n = sums[:, DIMS]
         share = np.concatenate([part / max(part.sum(), 1) for part in (n[:WORDS], n[WORDS:])])
         self.weights = (HALF / (HALF + share)).astype(np.float32)
+        self._derive()
+
+    def _derive(self) -> None:
+        """What isn't sent to the workers: the memo of words, and each slot's weighted vector with its weight behind it."""
         self.slots = Slots()
+        self.weighted = np.column_stack([self.vectors * self.weights[:, None], self.weights]).astype(np.float64)
 
     def __getstate__(self):
         return {"vectors": self.vectors, "weights": self.weights}
 
     def __setstate__(self, state):
-        self.__dict__.update(state, slots=Slots())
+        self.__dict__.update(state)
+        self._derive()
+
+    def pooled(self, seq: np.ndarray) -> np.ndarray:
+        """Sum of the weighted vectors and of the weights of a text's slots, so many rows at a time."""
+        total = np.zeros(DIMS + 1)
+        for at in range(0, len(seq), ROWS):
+            total += self.weighted.take(seq[at : at + ROWS], axis=0).sum(axis=0)
+        return total
 
     def pool(self, texts: list[str] | pa.Array) -> np.ndarray:
         """A row per text: mean vector of words, mean vector of shapes, log of the number of words."""
@@ -154,13 +178,11 @@ class WordVectors:
         out = []
         for n, words, shapes in in_blocks(texts, self.slots):
             rows = np.zeros((len(n), 2 * DIMS + 1), np.float64)
-            some = np.flatnonzero(n)
-            if len(some):
-                starts = (np.cumsum(n) - n)[some]
+            ends = np.cumsum(n).tolist()
+            for i in np.flatnonzero(n).tolist():
                 for k, seq in enumerate((words, shapes)):
-                    w = self.weights[seq]
-                    total = np.add.reduceat(self.vectors[seq] * w[:, None], starts, axis=0, dtype=np.float64)
-                    rows[some, k * DIMS : (k + 1) * DIMS] = total / np.add.reduceat(w, starts, dtype=np.float64)[:, None]
+                    total = self.pooled(seq[ends[i] - int(n[i]) : ends[i]])
+                    rows[i, k * DIMS : (k + 1) * DIMS] = total[:DIMS] / total[DIMS]
             rows[:, -1] = np.log1p(n)
             out.append(rows)
         return np.concatenate(out) if out else np.zeros((0, 2 * DIMS + 1))

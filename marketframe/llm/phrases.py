@@ -12,10 +12,11 @@ Every part of a frequent phrase is frequent, so scores need only the frequent ta
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Collection
+from itertools import compress
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -35,6 +36,8 @@ BURST = 4096
 ROOM = 500_000
 #: Different words that a task knows by number, of all languages, before it spills all it holds and forgets them.
 KNOWN = 400_000
+#: Words, of all languages, whose hashes a task remembers before it forgets them.
+MEMO = 100_000
 BITS = 21
 SALTS = 16
 
@@ -53,7 +56,7 @@ class HatTrie:
 
     def __init__(self, length: int, burst: int = BURST, room: int = ROOM):
         self.length, self.burst, self.room = length, burst, room
-        self.top: dict[int, dict] = {}  # first word -> container, or node after a burst; its count where phrases have one word
+        self.top: dict[int, dict] = Counter() if length == 1 else {}  # first word -> container, or node after a burst; its count where phrases have one word
         self.size: dict[int, int] = {}  # first word -> rests below
         self.total = 0
 
@@ -144,9 +147,29 @@ class HatTrie:
             yield w, rests, times
 
 
+class Hashes(dict):
+    """word -> its hash, worked out once per word; 0 is what stands between pieces, and no word's."""
+
+    def __init__(self, lang: str):
+        super().__init__({_END: 0})
+        self.seed = xxhash.xxh64_intdigest(lang.encode())
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word, self.seed) or 1
+        return h
+
+
+class Numbers(dict):
+    """word -> its number, counted from 0 in the order in which words are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def word_hashes(lang: str, words: Collection[bytes]) -> np.ndarray:
     seed = xxhash.xxh64_intdigest(lang.encode())
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) or 1 for w in words), np.uint64, len(words))
 
 
 def phrase_hashes(hashes: list[np.ndarray]) -> np.ndarray:
@@ -178,19 +201,37 @@ def counted(rows: DataFrame, length: int, sieve: Sieve | None, burst: int = BURS
     names = ["lang", "phrase", "f"] if length == 1 else ["lang", "first", "salt", "rests", "times"]
     salts = SALTS * 4 ** max(0, length - 2)
 
+    def words_of(batches):
+        """Words end at the root, so they are counted as they are, by their bytes."""
+        tries: dict[str, HatTrie] = {}
+
+        def runs():
+            for lang, trie in tries.items():
+                words, times = pa.array(list(trie.top), pa.binary()).cast(pa.string()), pa.array(trie.top.values(), pa.int64())
+                trie.top.clear()
+                for at in range(0, len(words), 50_000):
+                    some = words.slice(at, 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), some, times.slice(at, 50_000)], names)
+
+        for b in (part for whole in batches for part in slices(whole, lot)):
+            for lang, data in lots(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), lot):
+                tries.setdefault(lang, HatTrie(1, burst, room)).top.update(data.translate(_BYTES).replace(_END, b" ").split())
+                if sum(len(t.top) for t in tries.values()) >= min(room, KNOWN):
+                    yield from runs()
+        yield from runs()
+
     def run(batches):
         tries: dict[str, HatTrie] = {}
-        numbers: dict[str, dict[bytes, int]] = {}
+        numbers: dict[str, Numbers] = {}
+        hashes: dict[str, Hashes] = {}
 
         def runs(lang: str, keep: int):
-            words, mask = pa.array(numbers[lang], pa.binary()).cast(pa.string()), (1 << BITS) - 1
+            words, mask = pa.array(list(numbers[lang]), pa.binary()).cast(pa.string()), (1 << BITS) - 1
             heads, sizes, rests, times = [], [], [], []
 
-            marks = word_hashes("", numbers[lang]) if length > 1 else None
+            marks = word_hashes("", numbers[lang])
 
             def batch():
-                if length == 1:
-                    return pa.RecordBatch.from_arrays([pa.array([lang] * len(rests), pa.string()), words.take(pa.array(heads)), pa.array(times, pa.int64())], names)
                 rest, tree = np.array(rests, np.int64), np.repeat(np.arange(len(heads)), sizes)
                 after = [rest >> k & mask for k in range(BITS * (length - 2), -1, -BITS)]
                 group = tree * salts + (phrase_hashes([marks[x] for x in after]) % np.uint64(salts)).astype(np.int64)
@@ -225,36 +266,35 @@ def counted(rows: DataFrame, length: int, sieve: Sieve | None, burst: int = BURS
                 words = data.translate(_BYTES).replace(_END, b" \xff ").split()
                 if not words:
                     continue
-                code, distinct = pd.factorize(np.array(words, dtype=object))
-                del words
-                distinct = distinct.tolist()
-                wanted = np.array([w != _END for w in distinct])
-                at = np.arange(len(code) - length + 1)
+                h = np.fromiter(map(hashes.setdefault(lang, Hashes(lang)).__getitem__, words), np.uint64, len(words))
+                if sum(map(len, hashes.values())) > MEMO:
+                    hashes.clear()
+                at, wanted = np.arange(len(h) - length + 1), h != 0
                 ok = np.ones(len(at), bool)
                 for k in range(length):
-                    ok &= wanted[code[k : k + len(at)]]
-                if length > 1 and len(at):
-                    h = word_hashes(lang, distinct)[code]
+                    ok &= wanted[k : k + len(at)]
+                if len(at):
                     short = sieve.look(phrase_hashes([h[k : len(h) - length + 2 + k] for k in range(length - 1)]))
                     ok &= short[:-1] & short[1:]
                 at = at[ok]
                 if not len(at):
                     continue
-                known = numbers.setdefault(lang, {})
+                known = numbers.setdefault(lang, Numbers())
                 trie = tries.setdefault(lang, HatTrie(length, burst, room))
-                used = np.zeros(len(distinct), bool)
+                used = np.zeros(len(words), bool)
                 for k in range(length):
-                    used[code[at + k]] = True
-                if sum(map(len, numbers.values())) + used.sum() >= min(room, KNOWN) or len(known) + used.sum() >= 1 << BITS:
+                    used[at + k] = True
+                n_used = int(used.sum())
+                if sum(map(len, numbers.values())) >= min(room, KNOWN) or len(known) + n_used >= 1 << BITS:
                     for other in tries:
                         yield from runs(other, 0)
                         numbers[other].clear()
-                number = np.zeros(len(distinct), np.int64)
-                for i in np.flatnonzero(used).tolist():
-                    number[i] = known.setdefault(distinct[i], len(known))
-                first, rest = number[code[at]], np.zeros(len(at), np.int64)
+                number = np.fromiter(map(known.__getitem__, compress(words, used.tolist())), np.int64, n_used)
+                del words
+                at = (np.cumsum(used) - 1)[at]  # what isn't used is left out; a phrase's words stay neighbours
+                first, rest = number[at], np.zeros(len(at), np.int64)
                 for k in range(1, length):
-                    rest = rest << BITS | number[code[at + k]]
+                    rest = rest << BITS | number[at + k]
                 order = np.lexsort((rest, first)) if length == WORDS else np.argsort(first << BITS * (length - 1) | rest)
                 first, rest = first[order], rest[order]
                 head = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (rest[1:] != rest[:-1])]))
@@ -267,7 +307,7 @@ def counted(rows: DataFrame, length: int, sieve: Sieve | None, burst: int = BURS
             yield from runs(lang, 0)
 
     if length == 1:
-        found = rows.mapInArrow(run, "lang string, phrase string, f long").repartition("lang", "phrase")
+        found = rows.mapInArrow(words_of, "lang string, phrase string, f long").repartition("lang", "phrase")
         return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     # A subtree's rests travel as one text (no word has a line end) without their prefix, the first word. A hot prefix is split by a hash of the rest; a phrase stays in one partition.
     found = rows.mapInArrow(run, "lang string, first string, salt int, rests string, times array<long>")
